@@ -17,19 +17,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the folder that the cluster names.
-
-    A folder of our own is set only where the session names none, as in tests.
-    """
-    spark = df.sparkSession
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The checkpoint folder that the cluster names. One of our own is set only where the session names none, as in tests."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         shared = context.getConf().get("spark.checkpoint.dir", None)
         context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="gleanery-checkpoint-"))
+    return context.getCheckpointDir()
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a reliable checkpoint."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def remove_at_exit(spark: SparkSession, path: str) -> None:
+    """Remove what was written when the driver's JVM ends."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
+
+
 def pinned(df: DataFrame, **columns: Column) -> DataFrame:
     """Add columns that are computed once per row.
 
@@ -46,14 +54,9 @@ def materialised(df: DataFrame) -> DataFrame:
     ends. Shuffles that no live plan needs are given back at once.
     """
     spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        shared = context.getConf().get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="gleanery-checkpoint-"))
-    path = f"{context.getCheckpointDir()}/{uuid.uuid4().hex}"
+    path = f"{checkpoint_folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    place = context._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(place)
+    remove_at_exit(spark, path)
     gc.collect()
-    context._jvm.System.gc()
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)

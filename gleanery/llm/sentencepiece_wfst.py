@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-META, CACHE = "▁", 1_000_000
+META, CACHE = "▁", 400_000
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 BYTE_COST = 1
 
@@ -109,7 +109,7 @@ class Transducer:
         """Is there an arc from state a (empty: the start, or after bytes) that writes b?"""
         known = self._follows.get((a, b))
         if known is None:
-            if len(self._follows) >= 4 * CACHE:
+            if len(self._follows) >= 2 * CACHE:
                 self._follows.clear()
             known = self._follows[a, b] = self._merged(a + b) == ([a, b] if a else [b])
         return known
