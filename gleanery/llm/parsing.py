@@ -13,7 +13,7 @@ BOUNDARY = U(0)
 class WordNames(dict):
     """Names of words: their XXH64, never zero. Forgets all when full, which changes no name."""
 
-    def __init__(self, most: int = 500_000):
+    def __init__(self, most: int = 300_000):
         super().__init__()
         self.most = most
 

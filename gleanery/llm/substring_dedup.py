@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from gleanery.llm.common import materialised
 from gleanery.llm.parsing import BOUNDARY, U, WordNames, concatenated, mix, parse
 
-WINDOW, ROUNDS, CHUNK_WORDS = 50, 7, 400_000
+WINDOW, ROUNDS, CHUNK_WORDS = 50, 7, 200_000
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
 LAST = (1 << 63) - 1
@@ -131,10 +131,11 @@ def repeated(docs: DataFrame) -> DataFrame:
     named = materialised(d.mapInArrow(_named, "doc_id long, part int, keys array<long>"))
     held = named.select("doc_id", "part", F.explode("keys").alias("key"))
     several = held.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("key")
+    several = materialised(several)  # a table of its own lets the join below split skewed keys
     lists = materialised(held.join(several, "key").groupBy("doc_id", "part").agg(F.collect_set("key").alias("shared")))
     joined = d.join(lists, ["doc_id", "part"], "left")
     windows = materialised(joined.mapInArrow(_windows, "h long, doc_id long, part int, start int"))
-    first = windows.groupBy("h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("h", "lo")
+    first = materialised(windows.groupBy("h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("h", "lo"))
     later = windows.join(first, "h").filter("doc_id > lo")
     return materialised(later.groupBy("doc_id", "part").agg(F.collect_set("start").alias("starts")))
 
