@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gleanery.llm.common import WORD, pinned
+from gleanery.llm.common import WORD, materialised, pinned
 
 WEIGHTS, SHARE, MAX_EPOCHS = (5.0, 2.0, 1.0), 1.5, 2
 BLOCK_WORDS, MIN_SLOTS, CELLS, CHUNK = 1024, 4096, 1024, 1 << 16
@@ -74,11 +74,11 @@ def schedule(spark, sources: DataFrame, n_slots: int) -> DataFrame:
 def placed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Each row's place in its source's stream (row, offset), and the table of sources."""
     d = docs.select("doc_id", "source", words(F.col("text")).alias("size"), F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("h"))
-    d = d.withColumn("bucket", F.substring("h", 1, 3))
+    d = materialised(d.withColumn("bucket", F.substring("h", 1, 3)))  # texts are read and counted once
     buckets = d.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
     sizes = buckets.groupBy("source").agg(F.sum("words").alias("source_size"))
     starts = buckets.withColumn("start", F.sum("words").over(Window.partitionBy("source").orderBy("bucket")) - F.col("words")).drop("words")
-    sources = targets(sizes)
+    sources = materialised(targets(sizes))
     inner = Window.partitionBy("source", "bucket").orderBy("h", "doc_id", "size")
     d = d.withColumns({"inner": F.sum("size").over(inner.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"), "row": F.row_number().over(inner)})
     facts = sources.select(F.col("source").alias("_of"), "source_size", "i", "target", "t")
@@ -97,6 +97,7 @@ def mixed(docs: DataFrame) -> DataFrame:
     counts = slots.groupBy("i").agg(F.count("*").alias("slots"))
     # A source that got no slot still has its words in one block after all others.
     block = sources.join(counts, "i", "left").select("i", F.greatest(F.ceil(F.col("t") / F.coalesce("slots", F.lit(1))), F.lit(1)).cast("long").alias("length"), F.coalesce("slots", F.lit(0)).alias("slots"))
+    block = materialised(block)  # one row a source: the planner knows its size and broadcasts it only if it's small
     late = block.filter(F.col("slots") == 0).select((F.lit(n_slots) + F.col("i")).cast("long").alias("slot"), "i", F.lit(0).cast("long").alias("rank"))
     slots = slots.unionByName(late)
     rows = rows.join(block.select("i", "length"), "i")
