@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleanery.llm.common import pinned
+from gleanery.llm.common import materialised, pinned
 
 MIN_SITES, MIN_CHARS = 10, 20
 #: Relative width of the band around the threshold in which distinct sites are counted exactly;
@@ -38,7 +38,9 @@ def boilerplate(docs: DataFrame, text: str = "text", site: str = "source") -> Da
     held = docs.select("doc_id", F.col(site).alias("site"), F.explode(_keys(text)).alias("key"))
     # One site alone can't make a line boilerplate; the sketch is built for the others only.
     several = held.groupBy("key").agg(F.min("site").alias("lo"), F.max("site").alias("hi"), F.min("doc_id").alias("first"), F.count("*").alias("n")).filter((F.col("lo") != F.col("hi")) & (F.col("n") >= MIN_SITES))
+    several = materialised(several)  # tables of their own let the joins split skewed keys
     spread = held.join(several.select("key", "first"), "key").groupBy("key").agg(F.first("first").alias("first"), F.hll_sketch_estimate(F.hll_sketch_agg("site", LG_K)).alias("sites"))
+    spread = materialised(spread)
     sure = spread.filter(F.col("sites") > MIN_SITES * (1 + NEAR)).select("key", "first")
     near = spread.filter((F.col("sites") <= MIN_SITES * (1 + NEAR)) & (F.col("sites") >= MIN_SITES * (1 - NEAR))).select("key", "first")
     pairs = held.join(near, "key").groupBy("key", "first", "site").agg(F.lit(1).alias("one"))
@@ -49,7 +51,7 @@ def boilerplate(docs: DataFrame, text: str = "text", site: str = "source") -> Da
 def removals(docs: DataFrame, text: str = "text", site: str = "source") -> DataFrame:
     """doc_id, gone: the keys to remove from the documents of that doc_id."""
     held = docs.select("doc_id", F.explode(_keys(text)).alias("key"))
-    hits = held.join(boilerplate(docs, text, site), "key").filter(~F.coalesce(F.col("doc_id") == F.col("first"), F.lit(False)))
+    hits = held.join(materialised(boilerplate(docs, text, site)), "key").filter(~F.coalesce(F.col("doc_id") == F.col("first"), F.lit(False)))
     return hits.groupBy("doc_id").agg(F.collect_set("key").alias("gone"))
 
 
