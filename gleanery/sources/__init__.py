@@ -1 +1,37 @@
-"""Sources of the evidence-retrieval engine."""
+"""Sources and sinks: Parquet tables, uploaded files, JSON reports."""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+
+
+def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+def write(df: DataFrame, path: str, partition: str | None = None) -> None:
+    """Overwrite a table, partitioned by document where a column is named; Spark commits it as a whole."""
+    w = df.write.mode("overwrite")
+    (w.partitionBy(partition) if partition else w).parquet(path)
+
+
+def uploads(spark: SparkSession, glob: str) -> DataFrame:
+    """document_id, content of files."""
+    return spark.read.format("binaryFile").load(glob).selectExpr("path as document_id", "length as size_bytes", "content")
+
+
+def texts(files: DataFrame, extract: Callable[[bytes], str]) -> DataFrame:
+    """document_id, text with form feeds between pages, by a pluggable extractor."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x in frames:
+            yield pd.DataFrame({"document_id": x["document_id"], "text": [extract(c) for c in x["content"]]})
+
+    return files.mapInPandas(run, "document_id string, text string")
+
+
+def report(df: DataFrame, path: str) -> None:
+    df.coalesce(1).write.mode("overwrite").json(path)  # a report is a few rows

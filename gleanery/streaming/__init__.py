@@ -1 +1,36 @@
-"""Streaming of the evidence-retrieval engine."""
+"""Ingestion as a stream of files, and the state of each document."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from gleanery import sources
+from gleanery.operators import chunking, index, store
+
+# The states a document goes through.
+STATES = ("pending", "processing", "ready", "failed")
+
+
+def ingest(raw: DataFrame, folder: str) -> DataFrame:
+    """Pages, chunks and postings of raw(document_id, text), appended to the tables of a folder; returns document_id, status."""
+    pages = store.extracted(raw)
+    ch = chunking.chunks(pages)
+    pages.write.mode("append").parquet(f"{folder}/pages")
+    ch.write.mode("append").parquet(f"{folder}/chunks")
+    written = raw.sparkSession.read.parquet(f"{folder}/chunks")
+    index.term_frequencies(written.join(raw.select("document_id"), "document_id", "left_semi")).write.mode("append").parquet(f"{folder}/postings")
+    return statuses(raw, written)
+
+
+def statuses(raw: DataFrame, ch: DataFrame) -> DataFrame:
+    done = ch.select("document_id").distinct().withColumn("done", F.lit(True))
+    return raw.select("document_id").join(done, "document_id", "left").select("document_id", F.when(F.col("done"), "ready").otherwise("failed").alias("status"))
+
+
+def watch(spark: SparkSession, glob: str, folder: str, extract: Callable[[bytes], str], checkpoint: str):
+    """Start a stream that ingests new files."""
+    files = spark.readStream.format("binaryFile").load(glob).selectExpr("path as document_id", "length as size_bytes", "content")
+    return files.writeStream.foreachBatch(lambda df, _: ingest(sources.texts(df, extract), folder).write.mode("append").parquet(f"{folder}/status")).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
