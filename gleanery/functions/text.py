@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Stopwords of the lexical, rerank and keyword tokenisers.
 STOPWORDS = (
@@ -72,7 +73,7 @@ def normalize_text(c: Column) -> Column:
     return trim(collapse(F.lower(c)))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _nfkc(texts):
     import unicodedata
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleanery.functions import text as T
+from gleanery.functions.plan import pinned
 
 
 def _replaced(q: Column, token: Column, by: Column) -> Column:
@@ -50,27 +51,28 @@ def acronym(normal: Column) -> Column:
 
 def expand(queries: DataFrame, most: int = 12, quoted: bool = True, hyde: str | None = None, hyde_chars: int = 800) -> DataFrame:
     """queries with `normalized` and `variants`, array<struct<query,kind,weight>>; equal queries keep their first variant."""
-    d = queries.withColumn("normalized", T.normalize_query(F.col("query")))
+    d = pinned(queries, normalized=T.normalize_query(F.col("query")))
+    d = pinned(d, _lexical=lexical_variants(F.col("normalized")), _symbols=symbol_variants(F.col("query"), F.col("normalized")), _stripped=T.strip_question_prefix(F.col("normalized")), _initials=acronym(F.col("normalized")), _words=F.size(T.expansion_tokens(F.col("normalized"))))
     n = F.col("normalized")
     one = lambda q, kind, w: F.struct(q.alias("query"), F.lit(kind).alias("kind"), F.lit(float(w)).alias("weight"))
     none = F.expr("cast(array() as array<struct<query:string,kind:string,weight:double>>)")
     some = lambda test, q, kind, w: F.when(test, F.array(one(q, kind, w))).otherwise(none)
-    stripped = T.strip_question_prefix(n)
+    stripped, initials = F.col("_stripped"), F.col("_initials")
     many = lambda xs, kind, w: F.transform(xs, lambda x: one(x, kind, w))
-    initials = acronym(n)
     own = F.concat(
         some(n != "", n, "normalized", 1),
         some(stripped != n, stripped, "phrase", 0.9),
-        some(F.lit(quoted) & (F.size(T.expansion_tokens(n)) > 1), F.concat(F.lit('"'), n, F.lit('"')), "phrase", 0.85),
-        many(lexical_variants(n), "lexical", 0.7),
-        many(symbol_variants(F.col("query"), n), "symbol", 0.7),
+        some(F.lit(quoted) & (F.col("_words") > 1), F.concat(F.lit('"'), n, F.lit('"')), "phrase", 0.85),
+        many(F.col("_lexical"), "lexical", 0.7),
+        many(F.col("_symbols"), "symbol", 0.7),
         some(initials.isNotNull(), F.concat_ws(" ", n, initials), "acronym", 0.65),
     )
     parts = F.when(n != "", own).otherwise(none)
     if hyde is not None:
         text = T.truncate_word(T.normalize_query(F.coalesce(F.col(hyde), F.lit(""))), max(80, hyde_chars))
         parts = F.concat(parts, some(text != "", text, "pseudo_hyde", 0.55))
-    d = d.withColumn("_all", F.filter(F.transform(parts, lambda v: F.struct(T.normalize_query(v["query"]).alias("query"), v["kind"], v["weight"])), lambda v: v["query"] != ""))
-    d = d.withColumn("_names", F.transform("_all", lambda v: v["query"]))
+    d = pinned(d, _parts=parts)
+    d = pinned(d, _all=F.filter(F.transform("_parts", lambda v: F.struct(T.normalize_query(v["query"]).alias("query"), v["kind"], v["weight"])), lambda v: v["query"] != ""))
+    d = pinned(d, _names=F.transform("_all", lambda v: v["query"]))
     first = F.filter("_all", lambda v, i: F.array_position("_names", v["query"]) == i + 1)
-    return d.withColumn("variants", F.slice(first, 1, max(1, most))).drop("_all", "_names")
+    return d.withColumn("variants", F.slice(first, 1, max(1, most))).drop(*[c for c in d.columns if c.startswith("_")])
