@@ -73,18 +73,18 @@ def _rank(bounds: list[int], x: Column) -> Column:
     return F.when(x.isNull() | (c == 0), 0).otherwise((c - 1) * step + fine)
 
 
-def with_next(docs: DataFrame) -> DataFrame:
+def with_next(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """Add n_text and n_sig, text and signature of the next row by (doc_id, text); the first follows the last.
 
     Rows are dealt to ranges of doc_id, whose bounds are quantiles (at most 10,000 numbers); the
     first row of each range is also sent to the range before it. Texts move once. Null doc_ids
-    come first.
+    come first. ids: the same rows, of which only doc_id is read.
     """
-    ids = docs.agg(F.count("*").alias("n"), F.min("doc_id").alias("least")).first()
-    want = max(1, min(MOST_BOUNDS, ids["n"] // ROWS_A_BUCKET))
-    cuts = docs.agg(F.percentile_approx("doc_id", [i / want for i in range(1, want)] or [0.5], 20 * MOST_BOUNDS).alias("q")).first()["q"] or []
-    d = docs.withColumn("bucket", _rank(sorted(set(cuts)), F.col("doc_id")))
-    firsts = {r["bucket"]: r["first"] for r in d.groupBy("bucket").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("k"), "doc_id")).alias("m")).select("bucket", F.col("m.doc_id").alias("first")).collect()}
+    want = max(1, min(MOST_BOUNDS, ids.count() // ROWS_A_BUCKET))
+    cuts = ids.agg(F.percentile_approx("doc_id", [i / want for i in range(1, want)] or [0.5], 20 * MOST_BOUNDS).alias("q")).first()["q"] or []
+    rank = _rank(sorted(set(cuts)), F.col("doc_id"))
+    d = docs.withColumn("bucket", rank)
+    firsts = {r["bucket"]: r["first"] for r in ids.select("doc_id", rank.alias("bucket")).groupBy("bucket").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("k"), "doc_id")).alias("m")).select("bucket", F.col("m.doc_id").alias("first")).collect()}
     order = sorted(firsts)
     if not order:
         return d.withColumns({"n_text": F.col("text"), "n_sig": F.col("sig")}).drop("bucket")
@@ -105,7 +105,7 @@ def with_next(docs: DataFrame) -> DataFrame:
 def digest(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
     d = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    d = with_next(signature(d, "text", "sig"))
+    d = with_next(signature(d, "text", "sig"), docs.select("doc_id"))
     quarter = F.floor(F.length("text") / 4).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), F.length("text") - quarter), F.substring("n_text", F.lit(1), quarter))
     d = pinned(d, edited=edited).drop("n_text")
