@@ -1,4 +1,4 @@
-"""What several operators share: table reading, checkpoints and pinned columns."""
+"""What several operators share: table reading, checkpoints and written tables."""
 
 from __future__ import annotations
 
@@ -6,8 +6,11 @@ import gc
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
+
+from gleanery.functions.plan import pinned
+
+__all__ = ["WORD", "checkpoint", "checkpoint_folder", "materialised", "pinned", "remove_at_exit", "table"]
 
 #: A word, as all contracts define it: anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -38,15 +41,6 @@ def remove_at_exit(spark: SparkSession, path: str) -> None:
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
 
 
-def pinned(df: DataFrame, **columns: Column) -> DataFrame:
-    """Add columns that are computed once per row.
-
-    The optimizer copies a projected expression into every place that names it, a
-    lambda body included. A generator over a one-element array stops that.
-    """
-    return df.select("*", F.inline(F.array(F.struct(*[c.alias(k) for k, c in columns.items()]))))
-
-
 def materialised(df: DataFrame) -> DataFrame:
     """Write a table into the checkpoint folder and read it again: lineage ends there.
 
