@@ -17,18 +17,20 @@ valid UTF-8; bytes that aren't decode to U+FFFD.
 from __future__ import annotations
 
 import re
+from array import array
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, IntegerType, StringType, StructField, StructType
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-META, CACHE = "▁", 400_000
+META, CACHE, ROWS = "▁", 240_000, 500
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 BYTE_COST = 1
 
@@ -88,93 +90,135 @@ class Transducer:
         self.ids = {p: i for i, (p, k) in enumerate(zip(self.pieces, kinds, strict=True)) if k == NORMAL}
         self.bytes = {int(p[3:5], 16): i for i, (p, k) in enumerate(zip(self.pieces, kinds, strict=True)) if k == BYTE}
         self.unknown = kinds.index(UNKNOWN)
-        #: What begins a piece, and whether it's a whole one: the trie of the piece machine.
-        self.prefixes = {p[:i]: False for p in self.ids for i in range(1, len(p))} | dict.fromkeys(self.ids, True)
+        #: The piece machine's trie: from a character to the id of a whole piece (or -1) and the next node.
+        self.trie: dict = {}
+        for p, i in self.ids.items():
+            node = self.trie
+            for c in p[:-1]:
+                node = node.setdefault(c, [-1, {}])[1]
+            node.setdefault(p[-1], [-1, {}])[0] = i
+        self.start = len(self.pieces)
         self.alone = all(META not in p.lstrip(META) for p in self.ids)
         self.breaks_lines = not any("\n" in p for p in self.ids)
-        self._follows: dict[tuple[str, str], bool] = {}
-        self._paths: dict[str, tuple[int, ...]] = {}
-
-    def _merged(self, text: str) -> list[str]:
-        parts = list(text)
-        while len(parts) > 1:
-            best = max(((self.priority.get(a + b, -np.inf), -i) for i, (a, b) in enumerate(zip(parts, parts[1:]))))
-            if best[0] == -np.inf:
-                break
-            i = -best[1]
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
-        return parts
-
-    def follows(self, a: str, b: str) -> bool:
-        """Is there an arc from state a (empty: the start, or after bytes) that writes b?"""
-        known = self._follows.get((a, b))
+        #: Arcs known so far, by state.
+        self._follows: dict[int, dict[int, bool]] = defaultdict(dict)
+        self._n_arcs = 0
+        #: Paths of two generations: the older one goes when the newer is full.
+        self._paths: dict[str, bytes] = {}
+        self._older: dict[str, bytes] = {}
+
+    def _apart(self, a: str, b: str) -> bool:
+        """Does merging by priority, leftmost first, give a and b again and no merge across them?"""
+        parts, cut, priority = [*a, *b], len(a), self.priority
+        scores = [priority.get(x + y) for x, y in zip(parts, parts[1:])]
+        while True:
+            best = -1
+            for i, score in enumerate(scores):
+                if score is not None and (best < 0 or score > scores[best]):
+                    best = i
+            if best < 0:
+                return len(parts) == (a != "") + (b != "")
+            if best == cut - 1:
+                return False
+            if best < cut:
+                cut -= 1
+            parts[best : best + 2] = [parts[best] + parts[best + 1]]
+            del scores[best]
+            if best > 0:
+                scores[best - 1] = priority.get(parts[best - 1] + parts[best])
+            if best < len(scores):
+                scores[best] = priority.get(parts[best] + parts[best + 1])
+
+    def follows(self, a: int, b: int) -> bool:
+        """Is there an arc from state a (start: also after bytes) that writes piece b?"""
+        known = self._follows[a].get(b)
         if known is None:
-            if len(self._follows) >= 2 * CACHE:
-                self._follows.clear()
-            known = self._follows[a, b] = self._merged(a + b) == ([a, b] if a else [b])
+            if self._n_arcs >= 2 * CACHE:
+                self._n_arcs = 0
+                for arcs in self._follows.values():
+                    arcs.clear()
+            self._n_arcs += 1
+            known = self._follows[a][b] = self._apart("" if a == self.start else self.pieces[a], self.pieces[b])
         return known
 
-    def shortest_path(self, segment: str) -> tuple[int, ...]:
-        """Tropical shortest path through the lattice of a normalised string: piece ids."""
-        n, prefixes, follows = len(segment), self.prefixes, self._follows
-        # One state survives at each position: (weight, piece or None after bytes, start of that arc).
-        states: list[tuple[int, str | None, int] | None] = [(0, None, 0), *[None] * n]
+    def shortest_path(self, segment: str) -> bytes:
+        """Tropical shortest path through the lattice of a normalised string: piece ids, 32 bits each."""
+        n, trie, follows = len(segment), self.trie, self._follows
+        # One state survives at each position: its piece (-1: none yet) and where its arc began.
+        # Piece arcs weigh nothing and at most one path of them reaches a position, so that the first
+        # to arrive is the shortest; byte arcs leave only where no piece arc can pass.
+        piece, back = [-1] * (n + 1), [0] * (n + 1)
+        piece[0] = self.start
         for start in range(n):
-            at = states[start]
-            if at is None:
+            last = piece[start]
+            if last < 0:
                 continue
-            weight, last = at[0], at[1] or ""
-            for end in range(start + 1, n + 1):
-                piece = segment[start:end]
-                whole = prefixes.get(piece)
-                if whole is None:
-                    if end == start + 1 and (states[end] is None or weight + BYTE_COST < states[end][0]):
-                        states[end] = (weight + BYTE_COST, None, start)
+            children, arcs, end = trie, follows[last], start
+            for c in segment[start:]:
+                node = children.get(c)
+                if node is None:
                     break
-                if whole and (states[end] is None or weight < states[end][0]):
-                    known = follows.get((last, piece))
-                    if known or (known is None and self.follows(last, piece)):
-                        states[end] = (weight, piece, start)
-        out: list[tuple[int, ...]] = []
+                end += 1
+                i, children = node
+                if i >= 0 and piece[end] < 0:
+                    known = arcs.get(i)
+                    if known is None:
+                        known = self.follows(last, i)
+                    if known:
+                        piece[end], back[end] = i, start
+            if end == start:
+                piece[end + 1], back[end + 1] = self.start, start
+            if piece[n] >= 0:
+                break
+        out: list[int] = []
         end = n
         while end:
-            _, piece, start = states[end]
-            out.append((self.ids[piece],) if piece is not None else self._bytes(segment[start:end]))
+            start = back[end]
+            if piece[end] == self.start:
+                out += reversed(self._bytes(segment[start:end]))
+            else:
+                out.append(piece[end])
             end = start
-        return tuple(chain.from_iterable(reversed(out)))
+        out.reverse()
+        return array("i", out).tobytes()
 
     def _bytes(self, char: str) -> tuple[int, ...]:
         return tuple(self.bytes.get(b, self.unknown) for b in char.encode("utf-8", "replace"))
 
-    def _path(self, segment: str) -> tuple[int, ...]:
-        path = self._paths.get(segment)
+    def _path(self, segment: str, key: str | None = None) -> bytes:
+        """The segment's path, kept under key: the segment, or the word that follows its meta symbol."""
+        key = segment if key is None else key
+        path = self._paths.get(key)
         if path is None:
             if "\n" in segment and len(segment) > 1 and self.breaks_lines:
-                return tuple(chain.from_iterable(self._path(x) for x in re.split("(\n)", segment) if x))
-            if len(self._paths) >= CACHE:
-                self._paths.clear()
-            # A very long segment splits where a character is outside the vocabulary, else it's one lattice.
-            path = self.shortest_path(segment)
+                return b"".join(self._path(x, x[1:] if x[0] == META and len(x) > 1 and x[1] != META else " " + x) for x in re.split("(\n)", segment) if x)
+            path = self._older.get(key) or self.shortest_path(segment)
             if len(segment) <= 64:
-                self._paths[segment] = path
+                if len(self._paths) >= CACHE // 2:
+                    self._older = self._paths.copy()
+                    self._paths.clear()
+                self._paths[key] = path
         return path
 
-    def encode(self, text: str) -> list[int]:
+    def encode(self, text: str) -> np.ndarray:
+        """The piece ids of a text."""
         if not text:
-            return []
-        normal = META + text.replace(" ", META)
-        if not self.alone:
-            return list(self._path(normal))
-        parts = normal.split(META)
-        segments = [META + x for x in parts[1:]] if "" not in parts[1:] else re.findall(f"{META}+[^{META}]*|[^{META}]+", normal)
+            return np.zeros(0, dtype=np.int32)
         paths = self._paths
-        return list(chain.from_iterable([paths.get(s) or self._path(s) for s in segments]))
+        words = text.split(" ")
+        if self.alone and "" not in words and META not in text:
+            out = [paths.get(w) or self._path(META + w, w) for w in words]
+        else:
+            normal = META + text.replace(" ", META)
+            segments = re.findall(f"{META}+[^{META}]*|[^{META}]+", normal) if self.alone else [normal]
+            out = [self._path(s, " " + s) for s in segments]
+        return np.frombuffer(b"".join(out), dtype=np.int32)
 
     def decode(self, ids) -> str:
         out: list[str] = []
         pending = bytearray()
         pieces, kinds = self.pieces, self.kinds
-        for i in ids:
+        for i in ids.tolist() if isinstance(ids, np.ndarray) else ids:
             kind = kinds[i]
             if kind == BYTE:
                 pending.append(int(pieces[i][3:5], 16))
@@ -201,35 +245,48 @@ def _machine(model_path: str):
     return lambda: compiled(data)
 
 
-def encoded(docs: DataFrame, text: str = "text", out: str = "ids", model_path: str = MODEL) -> DataFrame:
-    """docs with an array of piece ids, or null."""
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, len(batch), ROWS):
+            yield batch.slice(at, ROWS)
+
+
+def _with(docs: DataFrame, run, **columns: DataType) -> DataFrame:
+    """docs with more columns; those of the same name are replaced."""
+    docs = docs.drop(*columns)
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, *[StructField(k, t) for k, t in columns.items()]]))
+
+
+def encoded(docs: DataFrame, text: str = "text", out: str = "ids", model_path: str = MODEL, back: str | None = None) -> DataFrame:
+    """docs with an array of piece ids, or null; with `back`, also the text that these ids decode to."""
     machine = _machine(model_path)
 
-    @F.arrow_udf("array<int>")
-    def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in batches:
-            m = machine()
-            rows = [None if t is None else np.array(m.encode(t), dtype=np.int32) for t in batch.to_pylist()]
-            yield pa.array(rows, pa.list_(pa.int32()))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = machine()
+        for batch in _slices(batches):
+            ids = [m.encode(t.as_py()) if t.is_valid else None for t in batch.column(text)]
+            more = [pa.array(ids, pa.list_(pa.int32()))]
+            if back:
+                more.append(pa.array([None if x is None else m.decode(x) for x in ids], pa.string()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, *more], [*batch.schema.names, out, *([back] if back else [])])
 
-    return docs.withColumn(out, encode(text))
+    return _with(docs, run, **{out: ArrayType(IntegerType())} | ({back: StringType()} if back else {}))
 
 
 def decoded(docs: DataFrame, ids: str = "ids", out: str = "decoded", model_path: str = MODEL) -> DataFrame:
     """docs with the text that an array of piece ids stands for, or null."""
     machine = _machine(model_path)
 
-    @F.arrow_udf("string")
-    def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in batches:
-            m = machine()
-            yield pa.array([None if x is None else m.decode(x) for x in batch.to_pylist()], pa.string())
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = machine()
+        for batch in _slices(batches):
+            texts = [m.decode(x.values.to_numpy()) if x.is_valid else None for x in batch.column(ids)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, out])
 
-    return docs.withColumn(out, decode(ids))
+    return _with(docs, run, **{out: StringType()})
 
 
 def digest(docs: DataFrame, model_path: str = MODEL) -> DataFrame:
     """doc_id, ids, n_ids, round_trip (null for a null text)."""
-    d = encoded(docs.select("doc_id", "text"), model_path=model_path)
-    d = decoded(d, model_path=model_path)
+    d = encoded(docs.select("doc_id", "text"), model_path=model_path, back="decoded")
     return d.select("doc_id", "ids", F.size("ids").cast("long").alias("n_ids"), (F.col("decoded") == F.col("text")).alias("round_trip"))
