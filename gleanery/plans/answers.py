@@ -33,7 +33,6 @@ def _meta(spark, d):
 
 
 _META = "meta AS (SELECT CAST(doc_id AS VARCHAR) AS id, 'f' || doc_id || '.pdf' AS filename, n_chars AS size_bytes, CASE WHEN doc_id % 7 = 0 THEN 'failed' ELSE 'ready' END AS status, CAST(doc_id * 37 % 5000 + 1700000000 AS BIGINT) AS created FROM documents)"
-_SECONDS = F.unix_timestamp("created_at")
 
 
 def _meta_columns(df):
