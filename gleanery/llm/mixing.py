@@ -74,7 +74,8 @@ def schedule(spark, sources: DataFrame, n_slots: int) -> DataFrame:
 def placed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Each row's place in its source's stream (row, offset), and the table of sources."""
     d = docs.select("doc_id", "source", words(F.col("text")).alias("size"), F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("h"))
-    d = materialised(d.withColumn("bucket", F.substring("h", 1, 3)))  # texts are read and counted once
+    # Texts are read and counted once; the short rows are written to few files.
+    d = materialised(d.withColumn("bucket", F.substring("h", 1, 3)).hint("rebalance"))
     buckets = d.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
     sizes = buckets.groupBy("source").agg(F.sum("words").alias("source_size"))
     starts = buckets.withColumn("start", F.sum("words").over(Window.partitionBy("source").orderBy("bucket")) - F.col("words")).drop("words")
