@@ -15,11 +15,18 @@ most 65 members meet, and is linked to the least of them.
 
 Null and empty texts have fingerprint zero, linked like any other. Null doc_ids get a
 component, but never name one unless all of it is null. Repeated rows each give a row.
+
+one_of_each goes by similarity instead: five words a shingle and a Jaccard similarity of 0.8 or
+more, which is up to some 16 bits away, too far for bands of bits. Candidates share one of BANDS
+tuples of least hashes (at 0.8, all but 2 in 10,000 pairs share one); the distance tables and the
+exact distance discard those over NEAR_BITS apart, and survivors are verified by their exact sets of
+shingles. Where more than MOST_MEMBERS share a tuple they aren't paired with one another, but each
+with the member whose tuples are shared most: the common original of many variants.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -33,23 +40,35 @@ from gleanery.llm.components import components
 
 WORDS, SEED, MOST_BITS = 3, 42, 2
 REFERENCES, MOST_MEMBERS, PIECE = 8, 48, 1 << 16
+NEAR_WORDS, NEAR_BITS, LEAST_SIMILARITY = 5, 20, 0.8
+BANDS, ROWS, BLOCK = 16, 4, 1024
+#: One order of hashes for each least hash: a bijection of 64-bit numbers.
+FLIP, ODD = (np.random.default_rng(SEED).integers(0, 1 << 63, (2, BANDS * ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1))
 
 
-def simhash(text: str | None, words: int = WORDS) -> int:
-    """Fingerprint of a text as a signed 64-bit number."""
+def shingle_hashes(text: str | None, words: int = WORDS) -> Iterator[np.ndarray]:
+    """Hashes of a text's shingles in order, a piece at a time; none without words."""
     parts = text.encode("utf-8", "replace").lower().split() if text else []
-    if not parts:
-        return 0
-    n = max(1, len(parts) - words + 1)
-    digest, ones = xxhash.xxh64_intdigest, np.zeros(64, dtype=np.int64)
-    for at in range(0, n, PIECE):
+    digest = xxhash.xxh64_intdigest
+    for at in range(0, max(1, len(parts) - words + 1) if parts else 0, PIECE):
         piece = parts[at : at + PIECE + words - 1]
         shingles = map(b" ".join, zip(*[piece[j:] for j in range(words)], strict=False)) if len(parts) >= words else [b" ".join(parts)]
-        h = np.array([digest(x, SEED) for x in shingles], dtype="<u8")
+        yield np.array([digest(x, SEED) for x in shingles], dtype="<u8")
+
+
+def _majority(pieces: Iterable[np.ndarray]) -> int:
+    ones, n = np.zeros(64, dtype=np.int64), 0
+    for h in pieces:
         ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        n += len(h)
     return int(np.packbits(2 * ones > n, bitorder="little").view("<i8")[0])
 
 
+def simhash(text: str | None, words: int = WORDS) -> int:
+    """Fingerprint of a text as a signed 64-bit number."""
+    return _majority(shingle_hashes(text, words))
+
+
 def fingerprinted(docs: DataFrame, text: str = "text", out: str = "fp", words: int = WORDS) -> DataFrame:
     @F.arrow_udf("long")
     def fingerprint(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -100,9 +119,90 @@ def digest(docs: DataFrame) -> DataFrame:
     return grouped(fps).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
+def sketch(text: str | None) -> tuple[int, list[int], int]:
+    """Of a text's shingles of NEAR_WORDS: fingerprint, a key for each band of least hashes, and a hash of all least hashes."""
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, dtype=np.uint64)
+    pieces = list(shingle_hashes(text, NEAR_WORDS))
+    for h in pieces:
+        for at in range(0, len(h), BLOCK):
+            least = np.minimum(least, ((h[at : at + BLOCK, None] ^ FLIP) * ODD).min(axis=0))
+    fp, raw = _majority(pieces), least.astype("<u8").tobytes()
+    keys = [_signed(xxhash.xxh64_intdigest(raw[8 * ROWS * i : 8 * ROWS * (i + 1)], i)) for i in range(BANDS)]
+    return fp, keys, _signed(xxhash.xxh64_intdigest(raw, BANDS))
+
+
+def _sketched(docs: DataFrame) -> DataFrame:
+    """doc_id, key (a hash of the text), fp, keys, class: equal classes have all least hashes in common."""
+
+    @F.arrow_udf("fp long, keys array<long>, class long")
+    def sketches(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            rows = [sketch(t.as_py()) for t in batch]
+            fps, keys, classes = zip(*rows, strict=True) if rows else ((), (), ())
+            yield pa.StructArray.from_arrays([pa.array(fps, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(classes, pa.int64())], ["fp", "keys", "class"])
+
+    return docs.select("doc_id", F.xxhash64("text").alias("key"), sketches("text").alias("s")).select("doc_id", "key", "s.*")
+
+
+def _sets(docs: DataFrame) -> DataFrame:
+    """class, all (the set of a text's shingles)."""
+
+    @F.arrow_udf("array<long>")
+    def distinct(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            yield pa.array([np.unique(np.concatenate([np.empty(0, "<u8"), *shingle_hashes(t.as_py(), NEAR_WORDS)])).view("<i8") for t in batch], pa.list_(pa.int64()))
+
+    return docs.select("class", distinct("text").alias("all"))
+
+
+def _candidates(classes: DataFrame) -> DataFrame:
+    """From class, fp, keys: pairs of classes (a, b) that share a key and whose fingerprints are at most NEAR_BITS apart."""
+    dealt = classes.select("class", "fp", F.explode("keys").alias("key"))
+    shared = dealt.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    met = materialised(dealt.join(shared, "key"))
+    table = [F.bit_count(F.col("fp").bitwiseXOR(F.lit(p))).cast("byte").alias(f"d{i}") for i, p in enumerate(_references())]
+    apart = F.bit_count(F.col("x.fp").bitwiseXOR(F.col("y.fp")))
+    near = apart <= NEAR_BITS
+    for i in range(REFERENCES):
+        near = near & (F.abs(F.col(f"x.d{i}") - F.col(f"y.d{i}")) <= NEAR_BITS)
+    few = met.filter(F.col("n") <= MOST_MEMBERS).select("key", "class", "fp", *table)
+    x, y = few.alias("x"), few.alias("y")
+    pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.class") < F.col("y.class")) & near)
+    weights = met.groupBy("class").agg(F.sum("n").alias("weight"))
+    many = met.filter(F.col("n") > MOST_MEMBERS).select("key", "class", "fp", *table)
+    centres = many.join(weights, "class").groupBy("key").agg(F.max_by(F.struct("class", "fp", *[f"d{i}" for i in range(REFERENCES)]), F.struct("weight", "class")).alias("y")).select("key", "y.*")
+    stars = many.alias("x").join(centres.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.class") != F.col("y.class")) & near)
+    ends = [F.least("x.class", "y.class").alias("a"), F.greatest("x.class", "y.class").alias("b")]
+    return pairs.select(*ends).unionByName(stars.select(*ends)).distinct()
+
+
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """docs with one document of each component left: that of the smallest doc_id, and of its rows the first by text."""
-    fps = materialised(fingerprinted(docs.select("doc_id", "text")).select("doc_id", "fp"))
-    stay = grouped(fps).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id"), F.col("fp").alias("_fp")).distinct()
-    d = docs.join(stay.select("_id").distinct(), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    return d
+    """docs with one row of each group of near copies left: that of the smallest doc_id (null last), then of the least hash of the text.
+
+    Rows of equal doc_id and text are copies, of which any one stays. A null text is like an empty
+    one, and all of those are copies. Other columns play no part and may have any name.
+    """
+    rows = materialised(_sketched(docs.select("doc_id", "text")))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "key")).alias("first")
+    classes = materialised(rows.groupBy("class").agg(F.first("fp").alias("fp"), F.first("keys").alias("keys"), first))
+    pairs = materialised(_candidates(classes))
+    asked = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).distinct()
+    whose = classes.join(asked, "class").select("class", F.col("first.doc_id").alias("_id"), F.col("first.key").alias("_key"))
+    texts = docs.select("doc_id", "text").withColumn("key", F.xxhash64("text"))
+    texts = texts.join(whose, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key"))).select("class", "text")
+    sets = materialised(_sets(texts).dropDuplicates(["class"]))
+    one = lambda end: sets.select(F.col("class").alias(end), F.col("all").alias(f"{end}_all"))
+    common = F.size(F.array_intersect("a_all", "b_all"))
+    alike = common >= LEAST_SIMILARITY * (F.size("a_all") + F.size("b_all") - common)
+    labels = components(pairs.join(one("a"), "a").join(one("b"), "b").filter(alike).select("a", "b"))
+    named = classes.select("class", "first").join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn("label", F.coalesce("label", "class"))
+    stay = materialised(named.groupBy("label").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("_id"), F.col("first.key").alias("_key")))
+    repeated = rows.groupBy(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).agg(F.count("*").alias("n")).filter("n > 1")
+    same = F.col("d.doc_id").eqNullSafe(F.col("s._id")) & (F.xxhash64("d.text") == F.col("s._key"))
+    kept = docs.alias("d").join(stay.alias("s"), same, "left_semi")
+    once = kept.alias("d").join(repeated.alias("s"), same, "left_anti")
+    return once.unionByName(kept.alias("d").join(repeated.alias("s"), same, "left_semi").dropDuplicates(["doc_id", "text"]))

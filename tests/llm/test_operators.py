@@ -133,6 +133,47 @@ def test_simhash_counts_bits():
     assert simhash.simhash(None) == simhash.simhash(" \n") == 0
 
 
+def variant(rng: random.Random, words: list[str], changes: int) -> str:
+    w = list(words)
+    for i in rng.sample(range(len(w)), changes):
+        w[i] = f"v{rng.random()}"
+    return " ".join(w)
+
+
+def test_one_of_each_group_of_near_copies_stays(spark):
+    rng = random.Random(11)
+    originals = [[f"w{rng.randrange(5000)}" for _ in range(200)] for _ in range(8)]
+    texts = {k: " ".join(w) for k, w in enumerate(originals)}
+    near = {100 + k: variant(rng, w, 3) for k, w in enumerate(originals)}  # about 0.86
+    far = {200 + k: variant(rng, w, 25) for k, w in enumerate(originals)}  # below 0.4
+    crowd = {1000 + k: variant(rng, originals[0], 3) for k in range(150)}  # about 0.75 of one another
+    rows = [*(texts | near | far | crowd).items(), (300, texts[2].upper()), (2, texts[2]), (None, texts[3]), (400, ""), (401, None)]
+    docs = spark.createDataFrame([(i, t, "x", "y") for i, t in rows], "doc_id long, text string, key string, _id string")
+    out = simhash.one_of_each(docs)
+    assert out.columns == docs.columns
+    assert sorted(r["doc_id"] for r in out.collect()) == sorted([*texts, *far, 400])
+
+
+def test_near_copies_are_those_of_brute_force(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    sets = {r["doc_id"]: {int(x) for h in simhash.shingle_hashes(r["text"], 5) for x in h} for r in docs.collect()}
+    ids = sorted(sets)
+    label = {i: i for i in ids}
+    holders: dict[int, list[int]] = {}
+    for i in ids:
+        for x in sets[i]:
+            holders.setdefault(x, []).append(i)
+    met = {(a, b) for h in holders.values() for a in h[:1] for b in h[1:]} | {(a, b) for h in holders.values() if len(h) < 60 for a in h for b in h if a < b}
+    links = [(a, b) for a, b in met if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    for _ in range(len(ids)):
+        lower = [(a, b) for a, b in links if label[a] != label[b]]
+        if not lower:
+            break
+        for a, b in lower:
+            label[a] = label[b] = min(label[a], label[b])
+    assert sorted(r["doc_id"] for r in simhash.one_of_each(docs).collect()) == sorted(set(label.values()))
+
+
 def test_components_of_a_path(spark):
     df = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (None, 5)], "a long, b long")
     got = {r["node"]: r["label"] for r in components.components(df).collect()}
