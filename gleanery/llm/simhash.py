@@ -41,7 +41,7 @@ from gleanery.llm.components import components
 WORDS, SEED, MOST_BITS = 3, 42, 2
 REFERENCES, MOST_MEMBERS, PIECE = 8, 48, 1 << 16
 NEAR_WORDS, NEAR_BITS, LEAST_SIMILARITY = 5, 20, 0.8
-BANDS, ROWS, BLOCK = 16, 4, 1024
+BANDS, ROWS, BLOCK, SLICE = 16, 4, 1024, 500
 #: One order of hashes for each least hash: a bijection of 64-bit numbers.
 FLIP, ODD = (np.random.default_rng(SEED).integers(0, 1 << 63, (2, BANDS * ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1))
 
@@ -135,28 +135,35 @@ def sketch(text: str | None) -> tuple[int, list[int], int]:
     return fp, keys, _signed(xxhash.xxh64_intdigest(raw, BANDS))
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, len(batch), SLICE):
+            yield batch.slice(at, SLICE)
+    pa.default_memory_pool().release_unused()
+
+
 def _sketched(docs: DataFrame) -> DataFrame:
     """doc_id, key (a hash of the text), fp, keys, class: equal classes have all least hashes in common."""
 
-    @F.arrow_udf("fp long, keys array<long>, class long")
-    def sketches(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in batches:
-            rows = [sketch(t.as_py()) for t in batch]
-            fps, keys, classes = zip(*rows, strict=True) if rows else ((), (), ())
-            yield pa.StructArray.from_arrays([pa.array(fps, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(classes, pa.int64())], ["fp", "keys", "class"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _slices(batches):
+            fps, keys, classes = zip(*[sketch(t.as_py()) for t in batch.column("text")], strict=True)
+            found = [pa.array(fps, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(classes, pa.int64())]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), *found], ["doc_id", "key", "fp", "keys", "class"])
 
-    return docs.select("doc_id", F.xxhash64("text").alias("key"), sketches("text").alias("s")).select("doc_id", "key", "s.*")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", F.xxhash64("text").alias("key"), "text").mapInArrow(run, f"doc_id {kind}, key long, fp long, keys array<long>, class long")
 
 
-def _sets(docs: DataFrame) -> DataFrame:
-    """class, all (the set of a text's shingles)."""
+def _sets(texts: DataFrame) -> DataFrame:
+    """From class, text: class, all (the set of a text's shingles)."""
 
-    @F.arrow_udf("array<long>")
-    def distinct(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in batches:
-            yield pa.array([np.unique(np.concatenate([np.empty(0, "<u8"), *shingle_hashes(t.as_py(), NEAR_WORDS)])).view("<i8") for t in batch], pa.list_(pa.int64()))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _slices(batches):
+            found = [np.unique(np.concatenate([np.empty(0, "<u8"), *shingle_hashes(t.as_py(), NEAR_WORDS)])).view("<i8") for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([batch.column("class"), pa.array(found, pa.list_(pa.int64()))], ["class", "all"])
 
-    return docs.select("class", distinct("text").alias("all"))
+    return texts.mapInArrow(run, "class long, all array<long>")
 
 
 def _candidates(classes: DataFrame) -> DataFrame:
