@@ -20,8 +20,8 @@ one_of_each goes by similarity instead: five words a shingle and a Jaccard simil
 more, which is up to some 16 bits away, too far for bands of bits. Candidates share one of BANDS
 tuples of least hashes (at 0.8, all but 2 in 10,000 pairs share one); the distance tables and the
 exact distance discard those over NEAR_BITS apart, and survivors are verified by their exact sets of
-shingles. Where more than MOST_MEMBERS share a tuple they aren't paired with one another, but each
-with the member whose tuples are shared most: the common original of many variants.
+shingles. Where more than MOST_MEMBERS share a tuple, every two of them are compared by their sets:
+they are dealt to parts, and each two parts are counted at once.
 """
 
 from __future__ import annotations
@@ -42,6 +42,8 @@ WORDS, SEED, MOST_BITS = 3, 42, 2
 REFERENCES, MOST_MEMBERS, PIECE = 8, 48, 1 << 16
 NEAR_WORDS, NEAR_BITS, LEAST_SIMILARITY = 5, 20, 0.8
 BANDS, ROWS, BLOCK, SLICE = 16, 4, 1024, 500
+#: Most members and, on average, shingles of a part; members from which on a shingle is counted by a matrix product, WIDTH shingles at a time.
+PART, VOLUME, DENSE, WIDTH = 1024, 1 << 19, 32, 1024
 #: One order of hashes for each least hash: a bijection of 64-bit numbers.
 FLIP, ODD = (np.random.default_rng(SEED).integers(0, 1 << 63, (2, BANDS * ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1))
 
@@ -123,8 +125,8 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def sketch(text: str | None) -> tuple[int, list[int], int]:
-    """Of a text's shingles of NEAR_WORDS: fingerprint, a key for each band of least hashes, and a hash of all least hashes."""
+def sketch(text: str | None) -> tuple[int, int, list[int], int]:
+    """Of a text's shingles of NEAR_WORDS: fingerprint, number, a key for each band of least hashes, and a hash of all least hashes."""
     least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, dtype=np.uint64)
     pieces = list(shingle_hashes(text, NEAR_WORDS))
     for h in pieces:
@@ -132,7 +134,7 @@ def sketch(text: str | None) -> tuple[int, list[int], int]:
             least = np.minimum(least, ((h[at : at + BLOCK, None] ^ FLIP) * ODD).min(axis=0))
     fp, raw = _majority(pieces), least.astype("<u8").tobytes()
     keys = [_signed(xxhash.xxh64_intdigest(raw[8 * ROWS * i : 8 * ROWS * (i + 1)], i)) for i in range(BANDS)]
-    return fp, keys, _signed(xxhash.xxh64_intdigest(raw, BANDS))
+    return fp, sum(map(len, pieces)), keys, _signed(xxhash.xxh64_intdigest(raw, BANDS))
 
 
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,16 +145,16 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sketched(docs: DataFrame) -> DataFrame:
-    """doc_id, key (a hash of the text), fp, keys, class: equal classes have all least hashes in common."""
+    """doc_id, key (a hash of the text), fp, size (the number of shingles), keys, class: equal classes have all least hashes in common."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _slices(batches):
-            fps, keys, classes = zip(*[sketch(t.as_py()) for t in batch.column("text")], strict=True)
-            found = [pa.array(fps, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(classes, pa.int64())]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), *found], ["doc_id", "key", "fp", "keys", "class"])
+            fps, sizes, keys, classes = zip(*[sketch(t.as_py()) for t in batch.column("text")], strict=True)
+            found = [pa.array(fps, pa.int64()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(classes, pa.int64())]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), *found], ["doc_id", "key", "fp", "size", "keys", "class"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.xxhash64("text").alias("key"), "text").mapInArrow(run, f"doc_id {kind}, key long, fp long, keys array<long>, class long")
+    return docs.select("doc_id", F.xxhash64("text").alias("key"), "text").mapInArrow(run, f"doc_id {kind}, key long, fp long, size long, keys array<long>, class long")
 
 
 def _sets(texts: DataFrame) -> DataFrame:
@@ -166,25 +168,94 @@ def _sets(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "class long, all array<long>")
 
 
-def _candidates(classes: DataFrame) -> DataFrame:
-    """From class, fp, keys: pairs of classes (a, b) that share a key and whose fingerprints are at most NEAR_BITS apart."""
-    dealt = classes.select("class", "fp", F.explode("keys").alias("key"))
-    shared = dealt.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    met = materialised(dealt.join(shared, "key"))
+def _met(classes: DataFrame) -> DataFrame:
+    """From class, size, keys: class, key and the key's number n of classes, and in how many parts they are compared; keys of the same classes are one."""
+    dealt = classes.select("class", "size", F.explode("keys").alias("key"))
+    marks = [F.bit_xor(F.xxhash64("class", F.lit(i))).alias(f"mark{i}") for i in range(2)]
+    shared = dealt.groupBy("key").agg(F.count("*").alias("n"), F.sum("size").alias("volume"), *marks).filter("n > 1")
+    parts = F.ceil(F.greatest(F.col("n") / PART, F.col("volume") / VOLUME, F.lit(1))).cast("int").alias("parts")
+    once = shared.groupBy("n", "volume", "mark0", "mark1").agg(F.min("key").alias("key")).select("key", "n", parts)
+    return materialised(dealt.drop("size").join(once, "key"))
+
+
+def _pairs(met: DataFrame, classes: DataFrame) -> DataFrame:
+    """Pairs of classes (a, b) that share a key and whose fingerprints are at most NEAR_BITS apart."""
     table = [F.bit_count(F.col("fp").bitwiseXOR(F.lit(p))).cast("byte").alias(f"d{i}") for i, p in enumerate(_references())]
-    apart = F.bit_count(F.col("x.fp").bitwiseXOR(F.col("y.fp")))
-    near = apart <= NEAR_BITS
+    near = F.bit_count(F.col("x.fp").bitwiseXOR(F.col("y.fp"))) <= NEAR_BITS
     for i in range(REFERENCES):
         near = near & (F.abs(F.col(f"x.d{i}") - F.col(f"y.d{i}")) <= NEAR_BITS)
-    few = met.filter(F.col("n") <= MOST_MEMBERS).select("key", "class", "fp", *table)
+    few = met.join(classes.select("class", "fp"), "class").select("key", "class", "fp", *table)
     x, y = few.alias("x"), few.alias("y")
-    pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.class") < F.col("y.class")) & near)
-    weights = met.groupBy("class").agg(F.sum("n").alias("weight"))
-    many = met.filter(F.col("n") > MOST_MEMBERS).select("key", "class", "fp", *table)
-    centres = many.join(weights, "class").groupBy("key").agg(F.max_by(F.struct("class", "fp", *[f"d{i}" for i in range(REFERENCES)]), F.struct("weight", "class")).alias("y")).select("key", "y.*")
-    stars = many.alias("x").join(centres.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.class") != F.col("y.class")) & near)
-    ends = [F.least("x.class", "y.class").alias("a"), F.greatest("x.class", "y.class").alias("b")]
-    return pairs.select(*ends).unionByName(stars.select(*ends)).distinct()
+    return x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.class") < F.col("y.class")) & near).select(F.col("x.class").alias("a"), F.col("y.class").alias("b")).distinct()
+
+
+def alike(sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Of sorted sets, by number: pairs that connect all of a similarity of LEAST_SIMILARITY or more."""
+    sizes = np.array([len(x) for x in sets])
+    shingles, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+    order = np.argsort(shingles, kind="stable")
+    shingles, owner = shingles[order], owner[order]
+    new = np.concatenate([[True], shingles[1:] != shingles[:-1]])[: len(shingles)]
+    held = np.diff(np.append(np.flatnonzero(new), len(shingles)))
+    holders = np.repeat(held, held)
+    common = np.zeros((len(sets), len(sets)))
+    light = (holders > 1) & (holders <= DENSE)
+    s, o = shingles[light], owner[light]
+    for k in range(1, DENSE):
+        same = s[k:] == s[:-k]
+        if not same.any():
+            break
+        np.add.at(common, (o[:-k][same], o[k:][same]), 1)
+    heavy = holders > DENSE
+    o, column = owner[heavy], np.cumsum(new[heavy]) - 1
+    for at in range(0, int(column[-1]) + 1 if len(column) else 0, WIDTH):
+        lo, hi = np.searchsorted(column, [at, at + WIDTH])
+        block = np.zeros((len(sets), WIDTH), dtype=np.float32)
+        block[o[lo:hi], column[lo:hi] - at] = 1
+        common += block @ block.T
+    links = np.triu(common >= LEAST_SIMILARITY * (sizes[:, None] + sizes[None, :] - common), 1)
+    links |= links.T
+    out, left = [], links.any(axis=1)
+    while left.any():
+        first = int(left.argmax())
+        front = np.array([first])
+        left[first] = False
+        while len(front):
+            front = np.flatnonzero(links[front].any(axis=0) & left)
+            left[front] = False
+            out += [(first, int(i)) for i in front]
+    return out
+
+
+def _compared(met: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) that connect all classes that share a key and are alike."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, names, held = None, [], []
+
+        def found() -> pa.RecordBatch:
+            pairs = alike(held) if len(held) > 1 else []
+            return pa.RecordBatch.from_arrays([pa.array([names[p[end]] for p in pairs], pa.int64()) for end in range(2)], ["a", "b"])
+
+        for batch in batches:
+            cells = zip(*[batch.column(c).to_pylist() for c in ("key", "x", "y")], strict=True)
+            lists = batch.column("all")
+            values, ends = lists.values.to_numpy(), lists.offsets.to_numpy()
+            for i, (its, name) in enumerate(zip(cells, batch.column("class").to_pylist(), strict=True)):
+                if its != cell:
+                    yield found()
+                    cell, names, held = its, [], []
+                names.append(name)
+                held.append(values[ends[i] : ends[i + 1]])
+        yield found()
+
+    # Every two parts make a cell, of the classes of both; one or two parts make one cell.
+    part = F.pmod(F.xxhash64("class"), F.col("parts")).cast("int")
+    others = F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda i: i != F.col("part"))
+    dealt = met.select("key", "class", "parts", part.alias("part")).withColumn("other", F.explode(F.when(F.col("parts") > 2, others).otherwise(F.array(F.lit(0)))))
+    ends = [F.when(F.col("parts") > 2, f("part", "other")).otherwise(0).alias(c) for f, c in ((F.least, "x"), (F.greatest, "y"))]
+    cells = dealt.select("key", *ends, "class").join(sets, "class")
+    return cells.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y").mapInArrow(run, "a long, b long").distinct()
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
@@ -195,17 +266,20 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     """
     rows = materialised(_sketched(docs.select("doc_id", "text")))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "key")).alias("first")
-    classes = materialised(rows.groupBy("class").agg(F.first("fp").alias("fp"), F.first("keys").alias("keys"), first))
-    pairs = materialised(_candidates(classes))
-    asked = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).distinct()
+    classes = materialised(rows.groupBy("class").agg(F.first("fp").alias("fp"), F.max("size").alias("size"), F.first("keys").alias("keys"), first))
+    met = _met(classes)
+    many, few = met.filter(F.col("n") > MOST_MEMBERS), met.filter(F.col("n") <= MOST_MEMBERS)
+    pairs = materialised(_pairs(few, classes))
+    asked = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).unionByName(many.select("class")).distinct()
     whose = classes.join(asked, "class").select("class", F.col("first.doc_id").alias("_id"), F.col("first.key").alias("_key"))
     texts = docs.select("doc_id", "text").withColumn("key", F.xxhash64("text"))
     texts = texts.join(whose, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key"))).select("class", "text")
-    sets = materialised(_sets(texts).dropDuplicates(["class"]))
+    sets = materialised(_sets(texts.dropDuplicates(["class"])))
     one = lambda end: sets.select(F.col("class").alias(end), F.col("all").alias(f"{end}_all"))
     common = F.size(F.array_intersect("a_all", "b_all"))
-    alike = common >= LEAST_SIMILARITY * (F.size("a_all") + F.size("b_all") - common)
-    labels = components(pairs.join(one("a"), "a").join(one("b"), "b").filter(alike).select("a", "b"))
+    near = common >= LEAST_SIMILARITY * (F.size("a_all") + F.size("b_all") - common)
+    links = pairs.join(one("a"), "a").join(one("b"), "b").filter(near).select("a", "b").unionByName(_compared(many, sets))
+    labels = components(links)
     named = classes.select("class", "first").join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn("label", F.coalesce("label", "class"))
     stay = materialised(named.groupBy("label").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("_id"), F.col("first.key").alias("_key")))
     repeated = rows.groupBy(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).agg(F.count("*").alias("n")).filter("n > 1")

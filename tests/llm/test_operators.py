@@ -174,6 +174,31 @@ def test_near_copies_are_those_of_brute_force(spark, sf):
     assert sorted(r["doc_id"] for r in simhash.one_of_each(docs).collect()) == sorted(set(label.values()))
 
 
+def stays(spark, texts: dict[int, str]) -> list[int]:
+    """doc_ids that stay, which must be those of brute force."""
+    sets = {i: {int(x) for h in simhash.shingle_hashes(t, 5) for x in h} for i, t in texts.items()}
+    label = {i: i for i in texts}
+    for a in sorted(texts):
+        for b in sorted(texts):
+            if a < b and label[a] != label[b] and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                lo, hi = sorted([label[a], label[b]])
+                label = {i: lo if x == hi else x for i, x in label.items()}
+    kept = sorted(r["doc_id"] for r in simhash.one_of_each(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect())
+    assert kept == sorted(set(label.values()))
+    return kept
+
+
+def test_a_crowd_is_compared_throughout(spark, monkeypatch):
+    rng = random.Random(5)
+    original = [f"w{i}" for i in range(200)]
+    firsts = [variant(rng, original, 5) for _ in range(150)]
+    crowd = [" ".join(original), *(variant(rng, original, 5) for _ in range(150)), *firsts, *(variant(rng, t.split(), 4) for t in firsts)]
+    kept = stays(spark, dict(enumerate(crowd)))
+    assert 200 < len(kept) < 300
+    monkeypatch.setattr(simhash, "PART", 20)
+    assert stays(spark, dict(enumerate(crowd))) == kept
+
+
 def test_components_of_a_path(spark):
     df = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (None, 5)], "a long, b long")
     got = {r["node"]: r["label"] for r in components.components(df).collect()}
