@@ -17,11 +17,10 @@ Null and empty texts have fingerprint zero, linked like any other. Null doc_ids
 component, but never name one unless all of it is null. Repeated rows each give a row.
 
 one_of_each goes by similarity instead: five words a shingle and a Jaccard similarity of 0.8 or
-more, which is up to some 16 bits away, too far for bands of bits. Candidates share one of BANDS
-tuples of least hashes (at 0.8, all but 2 in 10,000 pairs share one); the distance tables and the
-exact distance discard those over NEAR_BITS apart, and survivors are verified by their exact sets of
-shingles. Where more than MOST_MEMBERS share a tuple, every two of them are compared by their sets:
-they are dealt to parts, and each two parts are counted at once.
+more, whose fingerprints, which count repeats, may be any number of bits apart. Candidates share one of BANDS
+tuples of least hashes (at 0.8, all but 2 in 10,000 pairs share one). All that share one are
+compared by their exact sets of shingles, however far apart their fingerprints are; those of a large
+group are dealt to parts, and each two parts are counted at once.
 """
 
 from __future__ import annotations
@@ -40,7 +39,7 @@ from gleanery.llm.components import components
 
 WORDS, SEED, MOST_BITS = 3, 42, 2
 REFERENCES, MOST_MEMBERS, PIECE = 8, 48, 1 << 16
-NEAR_WORDS, NEAR_BITS, LEAST_SIMILARITY = 5, 20, 0.8
+NEAR_WORDS, LEAST_SIMILARITY = 5, 0.8
 BANDS, ROWS, BLOCK, SLICE = 16, 4, 1024, 500
 #: Most members and, on average, shingles of a part; members from which on a shingle is counted by a matrix product, WIDTH shingles at a time.
 PART, VOLUME, DENSE, WIDTH = 1024, 1 << 19, 32, 1024
@@ -125,16 +124,16 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def sketch(text: str | None) -> tuple[int, int, list[int], int]:
-    """Of a text's shingles of NEAR_WORDS: fingerprint, number, a key for each band of least hashes, and a hash of all least hashes."""
+def sketch(text: str | None) -> tuple[int, list[int], int]:
+    """Of a text's shingles of NEAR_WORDS: number, a key for each band of least hashes, and a hash of all least hashes."""
     least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, dtype=np.uint64)
     pieces = list(shingle_hashes(text, NEAR_WORDS))
     for h in pieces:
         for at in range(0, len(h), BLOCK):
             least = np.minimum(least, ((h[at : at + BLOCK, None] ^ FLIP) * ODD).min(axis=0))
-    fp, raw = _majority(pieces), least.astype("<u8").tobytes()
+    raw = least.astype("<u8").tobytes()
     keys = [_signed(xxhash.xxh64_intdigest(raw[8 * ROWS * i : 8 * ROWS * (i + 1)], i)) for i in range(BANDS)]
-    return fp, sum(map(len, pieces)), keys, _signed(xxhash.xxh64_intdigest(raw, BANDS))
+    return sum(map(len, pieces)), keys, _signed(xxhash.xxh64_intdigest(raw, BANDS))
 
 
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,16 +144,16 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sketched(docs: DataFrame) -> DataFrame:
-    """doc_id, key (a hash of the text), fp, size (the number of shingles), keys, class: equal classes have all least hashes in common."""
+    """doc_id, key (a hash of the text), size (the number of shingles), keys, class: equal classes have all least hashes in common."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _slices(batches):
-            fps, sizes, keys, classes = zip(*[sketch(t.as_py()) for t in batch.column("text")], strict=True)
-            found = [pa.array(fps, pa.int64()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(classes, pa.int64())]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), *found], ["doc_id", "key", "fp", "size", "keys", "class"])
+            sizes, keys, classes = zip(*[sketch(t.as_py()) for t in batch.column("text")], strict=True)
+            found = [pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(classes, pa.int64())]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), *found], ["doc_id", "key", "size", "keys", "class"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.xxhash64("text").alias("key"), "text").mapInArrow(run, f"doc_id {kind}, key long, fp long, size long, keys array<long>, class long")
+    return docs.select("doc_id", F.xxhash64("text").alias("key"), "text").mapInArrow(run, f"doc_id {kind}, key long, size long, keys array<long>, class long")
 
 
 def _sets(texts: DataFrame) -> DataFrame:
@@ -169,26 +168,15 @@ def _sets(texts: DataFrame) -> DataFrame:
 
 
 def _met(classes: DataFrame) -> DataFrame:
-    """From class, size, keys: class, key and the key's number n of classes, and in how many parts they are compared; keys of the same classes are one."""
+    """From class, size, keys: class, key, and in how many parts the key's classes are compared; keys of the same classes are one."""
     dealt = classes.select("class", "size", F.explode("keys").alias("key"))
     marks = [F.bit_xor(F.xxhash64("class", F.lit(i))).alias(f"mark{i}") for i in range(2)]
     shared = dealt.groupBy("key").agg(F.count("*").alias("n"), F.sum("size").alias("volume"), *marks).filter("n > 1")
     parts = F.ceil(F.greatest(F.col("n") / PART, F.col("volume") / VOLUME, F.lit(1))).cast("int").alias("parts")
-    once = shared.groupBy("n", "volume", "mark0", "mark1").agg(F.min("key").alias("key")).select("key", "n", parts)
+    once = shared.groupBy("n", "volume", "mark0", "mark1").agg(F.min("key").alias("key")).select("key", parts)
     return materialised(dealt.drop("size").join(once, "key"))
 
 
-def _pairs(met: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs of classes (a, b) that share a key and whose fingerprints are at most NEAR_BITS apart."""
-    table = [F.bit_count(F.col("fp").bitwiseXOR(F.lit(p))).cast("byte").alias(f"d{i}") for i, p in enumerate(_references())]
-    near = F.bit_count(F.col("x.fp").bitwiseXOR(F.col("y.fp"))) <= NEAR_BITS
-    for i in range(REFERENCES):
-        near = near & (F.abs(F.col(f"x.d{i}") - F.col(f"y.d{i}")) <= NEAR_BITS)
-    few = met.join(classes.select("class", "fp"), "class").select("key", "class", "fp", *table)
-    x, y = few.alias("x"), few.alias("y")
-    return x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.class") < F.col("y.class")) & near).select(F.col("x.class").alias("a"), F.col("y.class").alias("b")).distinct()
-
-
 def alike(sets: list[np.ndarray]) -> list[tuple[int, int]]:
     """Of sorted sets, by number: pairs that connect all of a similarity of LEAST_SIMILARITY or more."""
     sizes = np.array([len(x) for x in sets])
@@ -266,20 +254,14 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     """
     rows = materialised(_sketched(docs.select("doc_id", "text")))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "key")).alias("first")
-    classes = materialised(rows.groupBy("class").agg(F.first("fp").alias("fp"), F.max("size").alias("size"), F.first("keys").alias("keys"), first))
+    classes = materialised(rows.groupBy("class").agg(F.max("size").alias("size"), F.first("keys").alias("keys"), first))
     met = _met(classes)
-    many, few = met.filter(F.col("n") > MOST_MEMBERS), met.filter(F.col("n") <= MOST_MEMBERS)
-    pairs = materialised(_pairs(few, classes))
-    asked = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).unionByName(many.select("class")).distinct()
+    asked = met.select("class").distinct()
     whose = classes.join(asked, "class").select("class", F.col("first.doc_id").alias("_id"), F.col("first.key").alias("_key"))
     texts = docs.select("doc_id", "text").withColumn("key", F.xxhash64("text"))
     texts = texts.join(whose, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key"))).select("class", "text")
     sets = materialised(_sets(texts.dropDuplicates(["class"])))
-    one = lambda end: sets.select(F.col("class").alias(end), F.col("all").alias(f"{end}_all"))
-    common = F.size(F.array_intersect("a_all", "b_all"))
-    near = common >= LEAST_SIMILARITY * (F.size("a_all") + F.size("b_all") - common)
-    links = pairs.join(one("a"), "a").join(one("b"), "b").filter(near).select("a", "b").unionByName(_compared(many, sets))
-    labels = components(links)
+    labels = components(_compared(met, sets))
     named = classes.select("class", "first").join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn("label", F.coalesce("label", "class"))
     stay = materialised(named.groupBy("label").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("_id"), F.col("first.key").alias("_key")))
     repeated = rows.groupBy(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).agg(F.count("*").alias("n")).filter("n > 1")

@@ -199,6 +199,15 @@ def test_a_crowd_is_compared_throughout(spark, monkeypatch):
     assert stays(spark, dict(enumerate(crowd))) == kept
 
 
+def test_near_copies_may_differ_in_repeats(spark):
+    rng = random.Random(3)
+    texts = {}
+    for k in range(20):
+        words, line = [f"{k}w{i}" for i in range(300)], [f"{k}x{i}" for i in range(8)]
+        texts[2 * k], texts[2 * k + 1] = " ".join(words + 30 * line), variant(rng, words, 1) + " " + " ".join(2 * line)
+    assert stays(spark, texts) == list(range(0, 40, 2))
+
+
 def test_components_of_a_path(spark):
     df = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (None, 5)], "a long, b long")
     got = {r["node"]: r["label"] for r in components.components(df).collect()}
