@@ -124,16 +124,20 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
+def shingle_set(text: str | None) -> np.ndarray:
+    """The sorted hashes of a text's distinct shingles of NEAR_WORDS."""
+    return np.unique(np.concatenate([np.empty(0, "<u8"), *shingle_hashes(text, NEAR_WORDS)]))
+
+
 def sketch(text: str | None) -> tuple[int, list[int], int]:
-    """Of a text's shingles of NEAR_WORDS: number, a key for each band of least hashes, and a hash of all least hashes."""
+    """Of a text's set of shingles: size, a key for each band of least hashes, and a hash of the set."""
     least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, dtype=np.uint64)
-    pieces = list(shingle_hashes(text, NEAR_WORDS))
-    for h in pieces:
-        for at in range(0, len(h), BLOCK):
-            least = np.minimum(least, ((h[at : at + BLOCK, None] ^ FLIP) * ODD).min(axis=0))
+    h = shingle_set(text)
+    for at in range(0, len(h), BLOCK):
+        least = np.minimum(least, ((h[at : at + BLOCK, None] ^ FLIP) * ODD).min(axis=0))
     raw = least.astype("<u8").tobytes()
     keys = [_signed(xxhash.xxh64_intdigest(raw[8 * ROWS * i : 8 * ROWS * (i + 1)], i)) for i in range(BANDS)]
-    return sum(map(len, pieces)), keys, _signed(xxhash.xxh64_intdigest(raw, BANDS))
+    return len(h), keys, _signed(xxhash.xxh64_intdigest(h.tobytes()))
 
 
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,7 +148,7 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sketched(docs: DataFrame) -> DataFrame:
-    """doc_id, key (a hash of the text), size (the number of shingles), keys, class: equal classes have all least hashes in common."""
+    """doc_id, key (a hash of the text), size (of the set of shingles), keys, class: texts of one class have equal sets of shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _slices(batches):
@@ -161,7 +165,7 @@ def _sets(texts: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _slices(batches):
-            found = [np.unique(np.concatenate([np.empty(0, "<u8"), *shingle_hashes(t.as_py(), NEAR_WORDS)])).view("<i8") for t in batch.column("text")]
+            found = [shingle_set(t.as_py()).view("<i8") for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("class"), pa.array(found, pa.list_(pa.int64()))], ["class", "all"])
 
     return texts.mapInArrow(run, "class long, all array<long>")

@@ -208,6 +208,15 @@ def test_near_copies_may_differ_in_repeats(spark):
     assert stays(spark, texts) == list(range(0, 40, 2))
 
 
+def test_texts_of_equal_least_hashes_are_told_apart(spark):
+    texts = {}
+    for k in range(20):
+        words = [f"{k}w{i}" for i in range(1000)]
+        other = [*words[:400], "other", *words[401:]]  # 0.99; the third is at 0.8 to the second only
+        texts |= {3 * k: " ".join(other), 3 * k + 1: " ".join(words), 3 * k + 2: " ".join(words[:802])}
+    assert stays(spark, texts) == list(range(0, 60, 3))
+
+
 def test_components_of_a_path(spark):
     df = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (None, 5)], "a long, b long")
     got = {r["node"]: r["label"] for r in components.components(df).collect()}
