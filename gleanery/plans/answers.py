@@ -53,14 +53,24 @@ def _verdicts(spark, d):
     return A.claims(_answers(spark, d)).filter("claim_no is not null").select("query_id", "claim_no", F.when((F.col("query_id") + F.col("claim_no")) % 3 == 0, "no").otherwise("YES").alias("verdict"))
 
 
+#: Words of the run by which a passage is found.
+RUN = 8
+
+
 def _gold(spark, d):
     """Benchmark passages as queries; gold: the books that hold them."""
     b = table(spark, d, "benchmark").select((F.col("item_id") + 1000).cast("int").alias("query_id"), "text")
     docs = table(spark, d, "documents").select("doc_id", "text")
-    # Passages are found by their first line's words: an equi-join on sentences, then verified.
-    s = docs.select("doc_id", F.col("text").alias("t"), F.explode(F.array_distinct(T.packing_sentences(F.col("text")))).alias("k"))
-    q = b.withColumn("k", F.get(T.packing_sentences(F.col("text")), F.lit(1)))
-    hit = s.join(q, "k").filter(F.contains("t", "text")).select("query_id", F.concat(F.lit("book"), F.floor(F.col("doc_id") / 50)).alias("document_id")).distinct()
+    # Passages are found by a run of words inside them, whole in any text that holds the passage; shorter ones are sought in all texts.
+    words = T.matches(F.col("text"), r"\S+")
+    run = lambda at: F.xxhash64(F.slice("w", at, RUN))
+    s = docs.withColumn("w", words).filter(F.size("w") >= RUN).select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - RUN + 1), run))).alias("k"))
+    q = b.withColumn("w", words).filter(F.size("w") > 0)
+    met = s.join(q.filter(F.size("w") >= RUN + 2).select("query_id", run(F.lit(2)).alias("k")), "k").select("query_id", "doc_id").distinct()
+    long = met.join(b, "query_id").join(docs.withColumnRenamed("text", "t"), "doc_id")
+    short = q.filter(F.size("w") < RUN + 2).select("query_id", "text").join(docs.withColumnRenamed("text", "t"), F.contains("t", "text"))
+    held = long.filter(F.contains("t", "text")).select("query_id", "doc_id").unionByName(short.select("query_id", "doc_id"))
+    hit = held.select("query_id", F.concat(F.lit("book"), F.floor(F.col("doc_id") / 50)).alias("document_id")).distinct()
     queries = b.join(hit.select("query_id").distinct(), "query_id", "left_semi").select("query_id", F.array_join(F.slice(T.matches(F.col("text"), r"\S+"), 3, 8), " ").alias("query"), F.lit(None).cast("string").alias("document_id"))
     return queries, hit
 

@@ -1,6 +1,7 @@
 import pytest
 
 from gleanery import registry
+from gleanery.plans import answers
 from tests.conftest import same
 
 NAMES = ["chunks", "document_map", "section_enrich", "hash_embed", "corpus_stats", "inverted_index", "expand_query", "bm25_scores", "vector_search", "hybrid_candidates", "section_routing_filter", "rerank_relevance", "evidence_gate", "reflection_filter", "parse_citations", "collapse_sections", "vector_search_table", "tok_rerank"]
@@ -26,3 +27,15 @@ def test_answers_refuse_without_evidence(spark, sf):
     rows = {r["query_id"]: r for r in registry.queries()["answer_stub"](spark, sf).collect()}
     assert rows[4]["insufficient"] and rows[4]["answer"] == "Insufficient evidence to answer."
     assert rows[0]["answer"].startswith("Based on the evidence: ") and rows[0]["citations"] == "1"
+
+
+def test_gold_is_what_holds_the_passage(spark, tmp_path):
+    words = " ".join(f"w{i}" for i in range(30))
+    passages = [words, f"One here. Two {words}", "Short one.", f"A b c.\nD e f g h i j k l m. {words}"]
+    texts = [f"x{passages[0]}y. More", f"Before. {passages[1]} and on without an end", f"Ab Short one. {passages[3]}z", "Nothing here", None, f"a {passages[0][1:]}"]
+    spark.createDataFrame(list(enumerate(passages)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(50 * i, t) for i, t in enumerate(texts)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    queries, hit = answers._gold(spark, str(tmp_path))
+    held = {(1000 + i, f"book{k}") for i, p in enumerate(passages) for k, t in enumerate(texts) if t and p in t}
+    assert {tuple(r) for r in hit.select("query_id", "document_id").collect()} == held
+    assert {r["query_id"] for r in queries.collect()} == {i for i, _ in held}
