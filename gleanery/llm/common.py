@@ -6,11 +6,12 @@ import gc
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from gleanery.functions.plan import pinned
 
-__all__ = ["WORD", "checkpoint", "checkpoint_folder", "materialised", "pinned", "remove_at_exit", "table"]
+__all__ = ["WORD", "checkpoint_folder", "discard", "materialised", "packed", "pinned", "remove_at_exit", "table", "unpacked"]
 
 #: A word, as all contracts define it: anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -20,32 +21,47 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def packed(docs: DataFrame, **columns: Column) -> DataFrame:
+    """All columns of docs as one struct, `row`, beside the given ones: no name of a user's column can clash with ours."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *[c.alias(k) for k, c in columns.items()])
+
+
+def unpacked(rows: DataFrame, columns: list[str], **changed: Column) -> DataFrame:
+    """The columns of a packed table again, some of them replaced."""
+    return rows.select(*[(changed[c] if c in changed else F.col("row").getField(c)).alias(c) for c in columns])
+
+
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The checkpoint folder that the cluster names. One of our own is set only where the session names none, as in tests."""
+    """The shared folder that the cluster names in spark.checkpoint.dir.
+
+    In local mode a session that names none, as in tests, gets a folder of its own. On a cluster
+    that is an error, for executors on other machines could not read it.
+    """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        shared = context.getConf().get("spark.checkpoint.dir", None)
+        shared = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir", None)
+        if not shared and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="gleanery-checkpoint-"))
     return context.getCheckpointDir()
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint."""
-    checkpoint_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+def _place(spark: SparkSession, path: str):
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
 def remove_at_exit(spark: SparkSession, path: str) -> None:
     """Remove what was written when the driver's JVM ends."""
-    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
+    place, files = _place(spark, path)
+    files.deleteOnExit(place)
 
 
 def materialised(df: DataFrame) -> DataFrame:
     """Write a table into the checkpoint folder and read it again: lineage ends there.
 
-    Columns stay compressed, unlike in a checkpoint. The files go when the driver's JVM
-    ends. Shuffles that no live plan needs are given back at once.
+    Columns stay compressed, unlike in a checkpoint. The files go when discard() is called or the
+    driver's JVM ends. Shuffles that no live plan needs are given back at once.
     """
     spark = df.sparkSession
     path = f"{checkpoint_folder(spark)}/{uuid.uuid4().hex}"
@@ -53,4 +69,13 @@ def materialised(df: DataFrame) -> DataFrame:
     remove_at_exit(spark, path)
     gc.collect()
     spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove materialised tables that nothing reads any more."""
+    for t in tables:
+        place, files = _place(t.sparkSession, t.written_at)
+        files.delete(place, True)
