@@ -1,17 +1,18 @@
 """Secret scans: three fixed patterns, and a battery of randomness tests on unlabelled tokens.
 
 Base spans are the leftmost non-overlapping matches of each pattern. The battery takes each
-run of 20 or more token characters, infers its encoding (hex, base32 or base64) and asks two
-questions. Does the token fail a test of randomness: Pearson's chi-squared against the uniform
-alphabet, the number of runs of character classes, the lag-1 serial correlation of alphabet
-positions? Then it is no secret. How likely would ordinary text give so flat an alphabet and so
-many runs? Both scale with length under text and are combined by Stouffer's rule into a p-value;
-Benjamini and Hochberg's step-up rule, run apart for each encoding and length band over the whole
-table, bounds the share of false discoveries. P-values are binned upwards, so that a stratum needs
+run of 20 or more token characters, infers its encoding (hex, base32 or base64) and tests the
+hypothesis that it is ordinary text. How likely would text give so flat an alphabet and so many
+runs of character classes? Both scale with length under text and are combined by Stouffer's rule. A token
+that a test of randomness rejects (Pearson's chi-squared against the uniform alphabet, the
+number of runs, the lag-1 serial correlation of alphabet positions) has a p-value of 1: that only raises
+p-values, so they stay valid under the hypothesis, and all tokens are tested, random or not.
+Benjamini and Hochberg's step-up rule over all of them, run apart for each encoding and length band,
+bounds the share of false discoveries. P-values are binned upwards, so that a stratum needs
 401 counters however many tokens there are, and the thresholds are one number a stratum.
 
-Null texts count as empty; an empty table gives an empty result; repeated rows each give a row;
-extra columns are ignored. Offsets are code points, end exclusive.
+Null texts count as empty; an empty table gives an empty result; repeated rows each give a row, and
+their tokens count as often; ties share a bin and so a decision; extra columns are ignored. Offsets are code points, end exclusive.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleanery.llm.common import pinned
+from gleanery.llm.common import packed, pinned
 
 PATTERNS = {
     "assign": r"((?i:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)",
@@ -38,29 +39,27 @@ ENCODINGS = {
 #: Upper ends of the length bands, within which discoveries are controlled together.
 BANDS = (24, 32, 48, 96)
 TEXT_CHANGES, REJECT, RATE, BINS = 0.1, 3.29, 0.001, 400
-BLOCK = 256
+BLOCK = 64
 
 
 def _starts(parts: Column) -> Column:
-    """Add to each struct<gap,len,...> its start, in blocks, so that a text with very many matches stays linear."""
+    """Add to each struct<gap,len,...> its start. Lengths are summed within blocks, and block sums before each block: n * BLOCK / 2 + (n / BLOCK)^2 / 2 additions for n matches."""
 
-    def span(x: Column) -> Column:
-        return x["gap"] + x["len"]
+    def total(xs: Column) -> Column:
+        return F.aggregate(xs, F.lit(0).cast("long"), lambda a, x: a + x["gap"] + x["len"])
 
-    total = lambda xs: F.aggregate(xs, F.lit(0).cast("long"), lambda a, x: a + span(x))
     blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(parts) - 1) / BLOCK).cast("int")), lambda b: F.slice(parts, b * BLOCK + 1, F.lit(BLOCK)))
-    based = F.transform(
-        blocks,
-        lambda xs, b: F.struct(F.aggregate(F.slice(parts, F.lit(1), b * BLOCK), F.lit(0).cast("long"), lambda a, x: a + span(x)).alias("base"), xs.alias("xs")),
-    )
-    placed = F.transform(
-        based,
-        lambda block: F.transform(
-            block["xs"],
-            lambda x, i: F.struct((block["base"] + total(F.slice(block["xs"], F.lit(1), i)) + x["gap"]).alias("start"), x["len"].alias("len"), x["match"].alias("match")),
-        ),
-    )
-    return F.when(F.size(parts) > 0, F.flatten(placed)).otherwise(F.expr("cast(array() as array<struct<start:bigint,len:bigint,match:string>>)"))
+
+    def placed(blocks: Column, sums: Column) -> Column:
+        return F.transform(blocks, lambda xs, b: inside(xs, F.aggregate(F.slice(sums, F.lit(1), b), F.lit(0).cast("long"), lambda a, x: a + x)))
+
+    def inside(xs: Column, base: Column) -> Column:
+        one = lambda base: F.transform(xs, lambda x, i: F.struct((base + total(F.slice(xs, F.lit(1), i)) + x["gap"]).alias("start"), x["len"].alias("len"), x["match"].alias("match")))
+        return F.get(F.transform(F.array(base), one), F.lit(0))
+
+    # A value that several places need is bound as the one element of an array.
+    bound = F.get(F.transform(F.array(blocks), lambda bs: F.get(F.transform(F.array(F.transform(bs, total)), lambda sums: F.flatten(placed(bs, sums))), F.lit(0))), F.lit(0))
+    return F.when(F.size(parts) > 0, bound).otherwise(F.expr("cast(array() as array<struct<start:bigint,len:bigint,match:string>>)"))
 
 
 def matched(df: DataFrame, text: str, patterns: dict[str, str]) -> DataFrame:
@@ -92,7 +91,7 @@ def _upper_tail(z: Column) -> Column:
 
 
 def tested(token: Column, length: Column) -> Column:
-    """struct<encoding,band,random,bin> of a token's battery, by built-in functions over one token."""
+    """struct<encoding,band,bin> of a token's battery, by built-in functions over one token. bin: of -10 log10(p)."""
     body = F.regexp_replace(F.translate(token, "-_", "+/"), "=+$", "")
     encoding = F.when(body.rlike(ENCODINGS["hex"][0]), "hex").when(body.rlike(ENCODINGS["base32"][0]), "base32").otherwise("base64")
     band = sum((F.when(length > x, 1).otherwise(0) for x in BANDS), F.lit(0))
@@ -100,7 +99,7 @@ def tested(token: Column, length: Column) -> Column:
     for name, (_, alphabet, squares, changes) in ENCODINGS.items():
         facts.append(F.when(encoding == name, _battery(F.lower(body) if name == "hex" else body, alphabet, squares, changes)))
     outcome = F.coalesce(*facts)
-    return F.struct(encoding.alias("encoding"), band.alias("band"), outcome["random"].alias("random"), outcome["bin"].alias("bin"))
+    return F.struct(encoding.alias("encoding"), band.alias("band"), outcome.alias("bin"))
 
 
 def _battery(body: Column, alphabet: str, squares: float, changes: float) -> Column:
@@ -134,29 +133,30 @@ def _battery(body: Column, alphabet: str, squares: float, changes: float) -> Col
     z_serial = F.abs(serial + 1 / n) * F.sqrt(n)
     random = (z_uniform <= REJECT) & (z_runs <= REJECT) & (z_serial <= REJECT)
     p = _upper_tail((z_flat + z_many) / 2**0.5)
-    return F.struct(random.alias("random"), F.least(F.floor(-10 * F.log10(p)), F.lit(BINS)).cast("int").alias("bin"))
+    return F.when(random, F.greatest(F.least(F.floor(-10 * F.log10(p)), F.lit(BINS)), F.lit(0)).cast("int")).otherwise(0)
 
 
-def thresholds(candidates: DataFrame) -> dict[tuple[str, int], int]:
-    """The least bin that the step-up rule accepts, for each encoding and band. At most 15 x 401 counts reach the driver."""
+def thresholds(tests: DataFrame) -> dict[tuple[str, int], int]:
+    """The least bin that the step-up rule accepts, for each encoding and band, over the tests of all tokens. At most 15 x 401 counts reach the driver."""
     counts: dict[tuple[str, int], dict[int, int]] = {}
-    for r in candidates.groupBy("encoding", "band", "bin").count().collect():
-        counts.setdefault((r["encoding"], r["band"]), {})[max(r["bin"], 0)] = r["count"] + counts.get((r["encoding"], r["band"]), {}).get(max(r["bin"], 0), 0)
+    for r in tests.groupBy("encoding", "band", "bin").count().collect():
+        counts.setdefault((r["encoding"], r["band"]), {})[r["bin"]] = r["count"]
     found = {}
     for stratum, bins in counts.items():
         tests, above = sum(bins.values()), 0
         for b in sorted(bins, reverse=True):
             above += bins[b]
-            if 10 ** (-b / 10) <= RATE * above / tests:
+            if b and 10 ** (-b / 10) <= RATE * above / tests:
                 found[stratum] = b
     return found
 
 
 def scan(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Add `base` and `found`, arrays of struct<start,end,kind,order>, to each row."""
-    d = docs.withColumn("_t", F.coalesce(F.col(text), F.lit("")))
+    """Add `base` and `found`, arrays of struct<start,order,end,kind>, and n_ of each pattern to each row; columns of these names are replaced."""
+    kept_columns = [c for c in docs.columns if c not in {"base", "found", *[f"n_{k}" for k in PATTERNS]}]
+    d = packed(docs, _t=F.coalesce(F.col(text), F.lit("")))
     token = matched(d.select("_t"), "_t", {"random": TOKEN}).select(F.explode("random").alias("x"))
-    facts = pinned(token, f=tested(F.col("x.match"), F.col("x.len"))).select("f.*").filter(F.col("random"))
+    facts = pinned(token, f=tested(F.col("x.match"), F.col("x.len"))).select("f.*")
     limits = thresholds(facts)
     d = matched(d, "_t", PATTERNS | {"random": TOKEN})
     value = lambda m: F.regexp_extract(m, PATTERNS["assign"], 2)
@@ -173,7 +173,7 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
         test = accept
         for (encoding, band), least in limits.items():
             test = test | ((f["encoding"] == encoding) & (f["band"] == band) & (f["bin"] >= least))
-        return f["random"] & test
+        return test
 
     def spans(col: Column, kind: str, order: int) -> Column:
         return F.transform(col, lambda x: F.struct(x["start"].alias("start"), F.lit(order).alias("order"), (x["start"] + x["len"]).alias("end"), F.lit(kind).alias("kind")))
@@ -181,7 +181,7 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     base = F.array_sort(F.concat(*[spans(F.col(f"_k.{k}"), k, i) for i, k in enumerate(PATTERNS)]))
     d = pinned(d, base=base, _n=F.struct(*[F.size(f"_k.{k}").cast("long").alias(f"n_{k}") for k in PATTERNS]))
     d = pinned(d, found=F.array_sort(F.concat("base", spans(F.filter("_r", lambda x: accepted(x["f"])), "random", 3))))
-    return d.select("*", "_n.*").drop("_t", "_k", "_r", "_n", *PATTERNS, "random")
+    return d.select(*[F.col("row").getField(c).alias(c) for c in kept_columns], "base", "found", "_n.*")
 
 
 def listed(spans: Column) -> Column:
