@@ -1,13 +1,19 @@
 """Document fingerprints by order min-hashing.
 
-A text's k-mers are its runs of K words, numbered by occurrence. Their hashes fall into BINS bins by
-the leading bits. In each bin the L minimal occurrence-numbered k-mers are selected (by hash,
-then by occurrence number), put back into text order, and hashed together: an entry of the
-signature changes when a selected k-mer is lost and also when two change places, as edit distance
-does. Likeness of two signatures: equal entries over bins that either of them fills.
-
-Fewer than K words are one k-mer. An empty or null text fills no bin; two such have likeness 1.
-Positions above 2^24 - 1 count as that one. Equal texts have equal fingerprints.
+A text's k-mers are its runs of K words, and equal ones are numbered by occurrence: the second
+`a b c` is another element than the first. For each of ORDERS independent orders, the L minimal
+elements by that order's hash of (k-mer, occurrence) are selected, put back into text order, and
+hashed together to 32 bits: an entry changes when a selected element is lost and also when two
+change places, as edit distance does. Likeness of two signatures: the share of equal entries.
+
+An order's hash is computed for all elements, but only values under a threshold, below which
+ENOUGH of them are expected, are sorted; where fewer than L lie there, all are.
+
+Fewer than K words are one k-mer; fewer than L elements are all selected. An empty or null text has
+an empty fingerprint; two such have likeness 1, one of them and another text 0. Equal texts have equal fingerprints.
+The next document is the next row by (doc_id, text), null doc_ids first; the first follows the last,
+and one row alone follows itself. Repeated rows each give a row; an empty table gives an empty
+result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -17,49 +23,59 @@ from pyspark.sql import functions as F
 
 from gleanery.llm.common import WORD, pinned
 
-K, L, BITS = 3, 2, 6
-LOW, POSITION = -(1 << BITS - 1), (1 << 24) - 1
+K, L, ORDERS, ENOUGH = 3, 2, 24, 12
+#: Bits of a position. An array of 2^27 words and their references is over the 2 GB that a row can have.
+AT = 27
+POSITION = (1 << AT) - 1
 ROWS_A_BUCKET, MOST_BOUNDS = 64, 10_000
+_NONE = "cast(array() as array<bigint>)"
+
+
+def elements(df: DataFrame, text: str, out: str) -> DataFrame:
+    """Add an array with a long for each element of a text: the hash of (k-mer, occurrence), its last AT bits replaced by the position."""
+    at, kmer = lambda x: x.bitwiseAND(F.lit(POSITION)), lambda x: F.shiftright(x, AT)
+    put = lambda h, i: h.bitwiseAND(F.lit(~POSITION)).bitwiseOR(i.cast("long"))
+    d = pinned(df, w_=F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(WORD), F.lit(0)))
+    kmers = F.transform(F.sequence(F.lit(0), F.greatest(F.size("w_") - K, F.lit(0))), lambda i: put(F.xxhash64(*[F.get("w_", i + j) for j in range(K)]), i))
+    # Sorting puts equal k-mers together, in text order.
+    d = pinned(d, p_=F.when(F.size("w_") > 0, F.sort_array(kmers)).otherwise(F.expr(_NONE))).drop("w_")
+    again = lambda xs, x, i: (i > 0) & (kmer(x) == kmer(F.get(xs, i - 1)))
+    d = pinned(d, f_=F.filter("p_", lambda x, i: ~again("p_", x, i)), r_=F.filter("p_", lambda x, i: again("p_", x, i))).drop("p_")
+    # What repeats is numbered by its distance from the start of its run.
+    d = pinned(d, h_=F.filter(F.transform("r_", lambda x, i: F.when(~again("r_", x, i), i)), lambda i: i.isNotNull()))
+    number = lambda x, n: put(F.xxhash64(kmer(x), n), at(x))
+    runs = F.transform("h_", lambda h, t: F.transform(F.sequence(h, F.coalesce(F.get("h_", t + 1), F.size("r_")) - 1), lambda j: number(F.get("r_", j), j - h + 1)))
+    return pinned(d, **{out: F.concat(F.transform("f_", lambda x: number(x, F.lit(0))), F.when(F.size("h_") > 0, F.flatten(runs)).otherwise(F.expr(_NONE)))}).drop("f_", "r_", "h_")
 
 
 def signature(df: DataFrame, text: str, out: str) -> DataFrame:
-    """Add the signature of a text column: 2^BITS entries of four hex digits, `----` where a bin is empty."""
-    bin_of = lambda x: F.shiftright(x, 64 - BITS)
-    kmer = lambda x: x.bitwiseAND(F.lit(~POSITION))
-    d = pinned(df, _w=F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(WORD), F.lit(0)))
-    # Hash and position share a long: sorting puts equal k-mers together, in text order.
-    packed = F.transform(
-        F.sequence(F.lit(0), F.greatest(F.size("_w") - K, F.lit(0))),
-        lambda i: F.xxhash64(*[F.get("_w", i + j) for j in range(K)]).bitwiseAND(F.lit(~POSITION)).bitwiseOR(F.least(i, F.lit(POSITION)).cast("long")),
-    )
-    d = pinned(d, _p=F.when(F.size("_w") > 0, F.sort_array(packed)).otherwise(F.expr("cast(array() as array<bigint>)"))).drop("_w")
-    d = pinned(d, _q=F.filter("_p", lambda x, i: (i < L) | (bin_of(x) != bin_of(F.get("_p", i - L))))).drop("_p")
-    heads = F.filter(F.transform("_q", lambda x, i: F.when((i == 0) | (bin_of(x) != bin_of(F.get("_q", i - 1))), i)), lambda i: i.isNotNull())
-    d = pinned(d, _h=heads)
-
-    def entry(i: Column) -> Column:
-        chosen = F.filter(F.slice("_q", i + 1, F.lit(L)), lambda x: bin_of(x) == bin_of(F.get("_q", i)))
-        numbered = F.transform(
-            F.sequence(F.lit(0), F.size(chosen) - 1),
-            lambda j: F.struct(
-                F.get("_q", i + j).bitwiseAND(F.lit(POSITION)).alias("at"),
-                kmer(F.get("_q", i + j)).alias("kmer"),
-                sum((F.when((j >= b) & (kmer(F.get("_q", i + j)) == kmer(F.get("_q", i + j - b))), 1).otherwise(0) for b in range(1, L)), F.lit(0)).alias("occurrence"),
-            ),
-        )
-        tied = F.xxhash64(F.transform(F.array_sort(numbered), lambda x: F.struct(x["kmer"], x["occurrence"])))
-        return F.struct(bin_of(F.get("_q", i)).alias("bin"), F.right(F.lpad(F.lower(F.hex(tied)), 16, "0"), F.lit(4)).alias("entry"))
-
-    d = pinned(d, _e=F.map_from_entries(F.transform("_h", entry))).drop("_q", "_h")
-    filled = F.transform(F.sequence(F.lit(LOW), F.lit(-LOW - 1)), lambda b: F.coalesce(F.element_at("_e", b.cast("long")), F.lit("----")))
-    return pinned(d, **{out: filled}).drop("_e")
+    """Add the signature of a text column: ORDERS entries of eight hex digits, or none."""
+    d = elements(df, text, "e_")
+    n = F.size("e_")
+    share = F.least(F.lit(float(ENOUGH)) / n, F.lit(1.0))
+    d = pinned(d, t_=F.when(n <= ENOUGH, F.lit((1 << 63) - 1)).otherwise((share * float(1 << 64) - float(1 << 63)).cast("long")))
+    rank = lambda x, r: F.xxhash64(F.shiftright(x, AT), r)
+
+    def entry(few: Column, r: Column) -> Column:
+        few = F.when(F.size(few) >= F.least(F.lit(L), n), few).otherwise(F.col("e_"))
+        ranked = F.transform(few, lambda x: rank(x, r).bitwiseAND(F.lit(~POSITION)).bitwiseOR(x.bitwiseAND(F.lit(POSITION))))
+        least = F.slice(F.sort_array(ranked), F.lit(1), F.lit(L))
+        in_text = F.sort_array(F.transform(least, lambda y: F.shiftleft(y.bitwiseAND(F.lit(POSITION)), 64 - AT - 1).bitwiseOR(F.shiftrightunsigned(y, AT + 1))))
+        tied = F.xxhash64(F.transform(in_text, lambda y: y.bitwiseAND(F.lit((1 << 64 - AT - 1) - 1))))
+        return F.right(F.lpad(F.lower(F.hex(tied)), 16, "0"), F.lit(8))
+
+    def of(r: Column) -> Column:
+        few = F.filter("e_", lambda x: rank(x, r) <= F.col("t_"))
+        return F.get(F.transform(F.array(few), lambda xs: entry(xs, r)), F.lit(0))  # one evaluation of `few`
+
+    entries = F.transform(F.array(*map(F.lit, range(1, ORDERS + 1))), of)
+    return pinned(d, **{out: F.when(n > 0, entries).otherwise(F.expr("cast(array() as array<string>)"))}).drop("e_", "t_")
 
 
 def likeness(a: str, b: str) -> Column:
-    """Equal entries over filled ones; 1 if neither has any."""
-    both = F.zip_with(a, b, lambda x, y: F.struct((x == y).alias("same"), ((x != "----") | (y != "----")).alias("filled")))
-    n = F.size(F.filter(both, lambda x: x["filled"]))
-    return F.when(n == 0, 1.0).otherwise(F.size(F.filter(both, lambda x: x["filled"] & x["same"])) / n).cast("double")
+    """The share of equal entries; 1 if neither has any."""
+    same = F.size(F.filter(F.zip_with(a, b, lambda x, y: F.coalesce(x == y, F.lit(False))), lambda x: x))
+    return F.when((F.size(a) == 0) & (F.size(b) == 0), 1.0).otherwise(same / F.lit(ORDERS)).cast("double")
 
 
 def _rank(bounds: list[int], x: Column) -> Column:
