@@ -1,20 +1,19 @@
 """SimHash near-dedup with pivot distance tables.
 
-A fingerprint is linked to those at most two bits away. Candidates come from tables of Hamming
-distances to reference fingerprints. The first table has the references 0 and 2^i: the distance
-to 2^i is one above or below the distance to 0 as bit i is 0 or 1. Its coordinates fall into four
-bands of 16 references; two fingerprints within two bits agree in all coordinates of at least two
-bands, so they meet under one of six pairs of bands. The second table has the distances to
-REFERENCES pseudo-random fingerprints: pairs with a coordinate difference above two are discarded
-(triangle inequality). Survivors are verified by their exact distance.
-
-Equal fingerprints are one row throughout. A group under one key with more than MOST_MEMBERS
-fingerprints isn't paired: two fingerprints are within two bits exactly if some value lies within
-one bit of both, so each of its members is dealt to its 65 such values, under each of which at
-most 65 members meet, and is linked to the least of them.
-
-Null and empty texts have fingerprint zero, linked like any other. Null doc_ids get a
-component, but never name one unless all of it is null. Repeated rows each give a row.
+A fingerprint is linked to those at most two bits away. Its row in the pivot tables is computed
+once: the Hamming distances to REFERENCES pseudo-random fingerprints, and those to the references
+0 and 2^i, of which the distance to 2^i is one above or below that to 0 as bit i is 0 or 1, so that
+this table's 64 differences are read off the fingerprint. Candidates agree in groups of these differences:
+four groups of 16 coordinates, of which fingerprints within two bits share at least two, so they
+meet under one of six keys. A key with more than MOST_MEMBERS fingerprints is split by the
+coordinates that it doesn't fix, again in four groups of which two must agree, as often as it takes;
+when eight coordinates are left, at most 256 fingerprints can share a key. All
+that meet are discarded if any of the REFERENCES coordinates differs by more than two (triangle
+inequality), and survivors are verified by their exact distance. No link is lost at any step.
+
+Equal fingerprints are one row throughout. Null and empty texts have fingerprint zero, linked like any other. Null doc_ids get a
+component, but never name one unless all of it is null. Repeated rows each give a row; ties, as of
+fingerprints at exactly two bits, are links; an empty table gives an empty result; extra columns are ignored.
 
 one_of_each goes by similarity instead: five words a shingle and a Jaccard similarity of 0.8 or
 more, whose fingerprints, which count repeats, may be any number of bits apart. Candidates share one of BANDS
@@ -26,19 +25,20 @@ group are dealt to parts, and each two parts are counted at once.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleanery.llm.common import materialised
 from gleanery.llm.components import components
 
 WORDS, SEED, MOST_BITS = 3, 42, 2
-REFERENCES, MOST_MEMBERS, PIECE = 8, 48, 1 << 16
+REFERENCES, MOST_MEMBERS, PIECE = 32, 256, 1 << 16
 NEAR_WORDS, LEAST_SIMILARITY = 5, 0.8
 BANDS, ROWS, BLOCK, SLICE = 16, 4, 1024, 500
 #: Most members and, on average, shingles of a part; members from which on a shingle is counted by a matrix product, WIDTH shingles at a time.
@@ -79,30 +79,50 @@ def fingerprinted(docs: DataFrame, text: str = "text", out: str = "fp", words: i
     return docs.withColumn(out, fingerprint(text))
 
 
-def _references() -> list[int]:
-    return [int(np.uint64(xxhash.xxh64_intdigest(f"reference {i}")).astype(np.int64)) for i in range(REFERENCES)]
+def references() -> list[int]:
+    return [_signed(xxhash.xxh64_intdigest(f"reference {i}")) for i in range(REFERENCES)]
+
+
+def pivoted(fps: DataFrame) -> DataFrame:
+    """fp and the table of its distances to the references, eight to a long (t0, t1, ...)."""
+    distances = [F.bit_count(F.col("fp").bitwiseXOR(F.lit(p))).cast("long") for p in references()]
+    longs = [reduce(Column.bitwiseOR, [F.shiftleft(d, 7 * j) for j, d in enumerate(distances[at : at + 8])]) for at in range(0, REFERENCES, 8)]
+    return fps.select("fp", *[x.alias(f"t{i}") for i, x in enumerate(longs)])
+
+
+def _near(x: str, y: str) -> Column:
+    """Does no coordinate differ by more than MOST_BITS? The first that does decides."""
+    one = lambda side, i: F.shiftright(F.col(f"{side}.t{i // 8}"), 7 * (i % 8)).bitwiseAND(F.lit(127))
+    return reduce(lambda a, b: a & b, [F.abs(one(x, i) - one(y, i)) <= MOST_BITS for i in range(REFERENCES)])
+
+
+def candidates(fps: DataFrame) -> DataFrame:
+    """From fp: key, fp; those within two bits share a key, and no key has more than 256 fingerprints or MOST_MEMBERS if that is more."""
+    rest, key, out = F.col("fp"), F.lit(0).cast("long"), None
+    rows = fps.select("fp", key.alias("key"), rest.alias("rest"))
+    for width in (16, 8, 4):
+        group = lambda i, w=width: F.shiftrightunsigned("rest", w * i).bitwiseAND(F.lit((1 << w) - 1))
+        deals = []
+        for k, (i, j) in enumerate(combinations(range(4), 2)):
+            left, right = [x for x in range(4) if x not in (i, j)]
+            deals.append(F.struct(F.xxhash64("key", F.lit(k), group(i), group(j)).alias("key"), F.shiftleft(group(left), width).bitwiseOR(group(right)).alias("rest")))
+        dealt = rows.select("fp", F.inline(F.array(*deals)))
+        shared = dealt.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+        met = materialised(dealt.join(shared, "key"))
+        few = met.select("key", "fp") if width == 4 else met.filter(F.col("n") <= MOST_MEMBERS).select("key", "fp")
+        out = few if out is None else out.unionByName(few)
+        rows = met.filter(F.col("n") > MOST_MEMBERS).select("fp", "key", "rest")
+        if width == 4 or rows.isEmpty():
+            return out
 
 
 def links(fps: DataFrame) -> DataFrame:
-    """From distinct fingerprints (fp): links (a, b) that connect all within two bits."""
-    band = lambda i: F.shiftrightunsigned("fp", 16 * i).bitwiseAND(F.lit(0xFFFF))
-    keys = [F.lit(k << 32).bitwiseOR(F.shiftleft(band(i), 16)).bitwiseOR(band(j)) for k, (i, j) in enumerate(combinations(range(4), 2))]
-    dealt = fps.select("fp", F.explode(F.array(*keys)).alias("key"))
-    shared = dealt.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    met = dealt.join(shared, "key")
-    table = [F.bit_count(F.col("fp").bitwiseXOR(F.lit(p))).cast("byte").alias(f"d{i}") for i, p in enumerate(_references())]
-    few = met.filter(F.col("n") <= MOST_MEMBERS).select("key", "fp", *table)
-    x, y = few.alias("x"), few.alias("y")
-    near = (F.col("x.key") == F.col("y.key")) & (F.col("x.fp") < F.col("y.fp"))
-    for i in range(REFERENCES):
-        near = near & (F.abs(F.col(f"x.d{i}") - F.col(f"y.d{i}")) <= MOST_BITS)
+    """From distinct fingerprints (fp): links (a, b), all pairs within two bits."""
+    rows = candidates(fps).join(pivoted(fps), "fp")
+    x, y = rows.alias("x"), rows.alias("y")
+    met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.fp") < F.col("y.fp")) & _near("x", "y"))
     verified = F.bit_count(F.col("x.fp").bitwiseXOR(F.col("y.fp"))) <= MOST_BITS
-    pairs = x.join(y, near).filter(verified).select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b"))
-    many = met.filter(F.col("n") > MOST_MEMBERS).select("fp").distinct()
-    flips = [F.lit(0).cast("long")] + [F.lit(int(np.uint64(1 << i).astype(np.int64))) for i in range(64)]
-    around = many.select("fp", F.explode(F.transform(F.array(*flips), lambda m: F.col("fp").bitwiseXOR(m))).alias("middle"))
-    balls = around.groupBy("middle").agg(F.min("fp").alias("a"), F.collect_set("fp").alias("all")).filter(F.size("all") > 1)
-    return pairs.unionByName(balls.select("a", F.explode("all").alias("b")).filter("a <> b")).distinct()
+    return met.filter(verified).select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b")).distinct()
 
 
 def grouped(fps: DataFrame) -> DataFrame:
