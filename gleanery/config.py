@@ -23,7 +23,7 @@ class EngineConfig:
     top_sections: int = 0
     context_chars: int = 6000
     embedder: str = "hash"
-    llm_backend: str = "stub"
+    llm_model: str = ""
     reflection: bool = True
 
 

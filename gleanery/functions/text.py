@@ -13,7 +13,7 @@ STOPWORDS = (
     "because before after between during through while same some such each every few more most other own only very also just thus upon"
 ).split()
 # Further stopwords of the packing tokeniser.
-MORE_STOPWORDS = "a an as at be by did does i if in is it of on or to we".split()
+MORE_STOPWORDS = "does did a an as at be by if in is it of on or to we i".split()
 # Question prefixes in order of precedence.
 QUESTION_PREFIXES = "what is|what are|where is|where are|when is|when are|who is|who are|why is|why are|how does|how do|how is|how are|tell me about|show me|find"
 # Symbols and the words that stand for them.
@@ -107,8 +107,9 @@ def truncate_word(c: Column, most: int) -> Column:
     return F.when(F.length(c) <= most, c).otherwise(trim(F.when(space > most * 0.5, F.left(cut, space)).otherwise(cut)))
 
 
-def truncate_boundary(c: Column, most: int) -> Column:
-    cut = F.left(c, F.lit(most))
+def truncate_boundary(c: Column, most: int | Column) -> Column:
+    most = F.lit(most) if isinstance(most, int) else most
+    cut = F.left(c, most)
     last = lambda mark: F.when(cut.contains(mark), F.length(cut) - F.locate(mark[::-1], F.reverse(cut)) - (len(mark) - 1)).otherwise(-1)
     stop, space = F.greatest(last(". "), last("? "), last("! ")), last(" ")
     kept = F.when(stop > most * 0.45, F.left(cut, stop + 1)).when(space > most * 0.5, F.left(cut, space)).otherwise(cut)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,6 +12,8 @@ from pyspark.sql import functions as F
 from gleanery.functions import text as T
 
 DIMENSIONS = 256
+#: Names of the embedders, as the index and answers give them.
+NAMES = {"hash": "hash-256"}
 
 
 def buckets(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -28,17 +31,53 @@ def dense(df: DataFrame, key: str, text: str) -> DataFrame:
     return df.select(key).join(b, key, "left").select(key, F.when(F.col("m").isNull(), F.array_repeat(F.lit(0.0), DIMENSIONS)).otherwise(filled).alias("embedding"))
 
 
-def sparse_scores(query_buckets: DataFrame, chunk_buckets: DataFrame) -> DataFrame:
-    """query_id, chunk_id, score: inner products over shared buckets. All weights are positive, so a score above zero is a shared bucket."""
-    j = query_buckets.withColumnRenamed("weight", "qw").join(chunk_buckets, "bucket")
-    return j.groupBy("query_id", "chunk_id").agg(F.sum(F.col("qw") * F.col("weight")).alias("score"))
+#: Most queries of one pass over the vectors: as unit vectors, their size is bounded by this times the vectors' length.
+PASS = 4096
 
 
-def dense_scores(queries: DataFrame, vectors: DataFrame) -> DataFrame:
-    """query_id, vec_id, score of dense vectors; empty vectors and scores of zero or less are left out. queries is a stated set."""
-    q = queries.select("query_id", F.col("embedding").alias("q")).filter(F.size("q") > 0)
-    v = vectors.select("vec_id", "embedding").filter(F.size("embedding") > 0)
-    return v.join(q, F.lit(True)).select("query_id", "vec_id", T.dot(F.col("q"), F.col("embedding")).alias("score")).filter("score > 0")
+def nearest(queries: DataFrame, vectors: DataFrame, k: int, *ties: str) -> DataFrame:
+    """query_id, rank, score (inner product, to twelve digits) and the columns of vectors but `embedding`: the k best of each query, above zero.
+
+    queries(query_id, embedding, only: null or the one document_id searched) is a stated set: PASS of them at a time go
+    to all tasks, and one pass over the vectors keeps each task's k best of each query. Only those are shuffled. Empty vectors, and
+    those of another length than the query's, find and are found by nothing. Ties go by the named columns.
+    """
+    out, kept = None, [c for c in vectors.columns if c != "embedding"]
+    asked = queries.filter(F.size("embedding") > 0).select("query_id", "embedding", "only")
+    slices = max(1, -(-asked.count() // PASS))
+    kinds = ", ".join(f"{c} {vectors.schema[c].dataType.simpleString()}" for c in kept)
+    kind = queries.schema["query_id"].dataType.simpleString()
+    for i in range(slices):
+        some = asked if slices == 1 else asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(slices)) == i)
+        best = vectors.filter(F.size("embedding") > 0).mapInPandas(_scan(some.collect(), k, kept, ties), f"query_id {kind}, {kinds}, score double")
+        out = best if out is None else out.unionByName(best)
+    return top(out, k, *ties)
+
+
+def _scan(asked: list, k: int, kept: list[str], ties: tuple[str, ...]):
+    by_length: dict[int, list] = {}
+    for r in asked:
+        by_length.setdefault(len(r["embedding"]), []).append(r)
+    groups = {n: ([r["query_id"] for r in rows], np.array([r["embedding"] for r in rows], dtype=float).T, [r["only"] for r in rows]) for n, rows in by_length.items()}
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict = {}
+        for x in frames:
+            sizes = x["embedding"].map(len)
+            for n, (ids, matrix, only) in groups.items():
+                rows = x[sizes == n]
+                if not len(rows):
+                    continue
+                scores = np.round(np.array(rows["embedding"].to_list(), dtype=float) @ matrix, 12)
+                for j, q in enumerate(ids):
+                    good = scores[:, j] > 0 if only[j] is None else (scores[:, j] > 0) & (rows["document_id"] == only[j]).to_numpy()
+                    found = rows.loc[good, kept].assign(score=scores[good, j])
+                    both = pd.concat([held[q], found]) if q in held else found
+                    held[q] = both.sort_values(["score", *ties], ascending=[False, *[True] * len(ties)], kind="stable")[: max(1, k)]
+        for q, rows in held.items():
+            yield rows.assign(query_id=q)[["query_id", *kept, "score"]]
+
+    return run
 
 
 def top(scores: DataFrame, k: int, *ties: str) -> DataFrame:

@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleanery.functions import text as T
+from gleanery.operators.embedding import NAMES
 
 ALL = "__all__"
-VERSION, CHUNK_FORMAT, TOKENIZER, EMBEDDER = 1, 1, "retrieval-tokenizer-v1", "hash-256"
+VERSION, CHUNK_FORMAT, TOKENIZER, EMBEDDER = 1, 1, "retrieval-tokenizer-v1", NAMES["hash"]
 
 
 def term_frequencies(ch: DataFrame) -> DataFrame:

@@ -58,8 +58,8 @@ def pick(rows: list[dict], k: int, trade: float) -> list[int]:
 
 
 def diversified(hits: DataFrame, queries: DataFrame, k: int, config: EngineConfig = DEFAULT) -> DataFrame:
-    """The chosen hits with rank in the order of choice and their own scores. One group is one query's hits."""
-    d = relevance(hits, queries)
+    """The chosen hits with rank in the order of choice and their own scores. One group is one query's hits, at most a few dozen; hits are computed once."""
+    d, columns = relevance(hits, queries), hits.columns
 
     def choose(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("rank").reset_index(drop=True)
@@ -67,12 +67,9 @@ def diversified(hits: DataFrame, queries: DataFrame, k: int, config: EngineConfi
         for r, tokens in zip(rows, pdf["tokens"], strict=True):
             r["tokens"] = set(tokens)
         order = pick(rows, k, config.mmr_lambda)
-        return pdf[["query_id", "chunk_id"]].iloc[order].assign(place=range(1, len(order) + 1))
+        return pdf[columns].iloc[order].assign(rank=range(1, len(order) + 1))
 
-    slim = d.select("query_id", "chunk_id", "rank", "relevance", "document_id", "page_start", "page_end", "tokens")
-    qtype = d.schema["query_id"].dataType.simpleString()
-    order = slim.groupBy("query_id").applyInPandas(choose, f"query_id {qtype}, chunk_id string, place int")
-    return hits.join(order, ["query_id", "chunk_id"]).drop("rank").withColumnRenamed("place", "rank")
+    return d.select(*hits.columns, "relevance", "tokens").groupBy("query_id").applyInPandas(choose, hits.schema)
 
 
 def adjacent(hits: DataFrame, queries: DataFrame, most: int = 6, ratio: float = 0.7) -> DataFrame:

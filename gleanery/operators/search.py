@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 
 from gleanery.config import DEFAULT, EngineConfig
 from gleanery.functions import text as T
+from gleanery.operators import corpus as indexing
 from gleanery.operators import embedding, expansion, index
+from gleanery.operators.corpus import Corpus
 
 
 def query_terms(queries: DataFrame, config: EngineConfig = DEFAULT) -> DataFrame:
@@ -25,17 +27,14 @@ def query_terms(queries: DataFrame, config: EngineConfig = DEFAULT) -> DataFrame
     return d.groupBy("query_id", "document_id", scope, "term").agg(F.sum("weight").alias("w"))
 
 
-def bm25_scores(queries: DataFrame, ch: DataFrame, config: EngineConfig = DEFAULT) -> DataFrame:
-    """query_id, chunk_id, document_id, ordinal, score."""
-    terms, tf, lengths = query_terms(queries, config), index.term_frequencies(ch), index.chunk_lengths(ch)
-    # Only the queries' terms are counted and scored; the statistics of a scope are one row.
-    wanted = terms.select("term").distinct()
-    tf = tf.join(wanted, "term", "left_semi")
-    stats, df = index.corpus_stats(lengths), index.document_frequencies(tf)
-    t = terms.join(df, ["scope", "term"]).join(stats, "scope")
+def bm25_scores(queries: DataFrame, corpus: Corpus, config: EngineConfig = DEFAULT) -> DataFrame:
+    """query_id, chunk_id, document_id, ordinal, score. Of the index, only the partitions of the queries' terms are read."""
+    terms = query_terms(queries, config)
+    held = F.col("part").isin(indexing.parts(terms))
+    t = terms.join(corpus.frequencies.filter(held).drop("part"), ["scope", "term"]).join(corpus.stats, "scope")
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     t = t.select("query_id", F.col("document_id").alias("only"), "term", "w", idf.alias("idf"), F.when(F.col("avgdl") == 0, 1.0).otherwise(F.col("avgdl")).alias("avgdl"))
-    j = tf.join(t, "term").filter(F.col("only").isNull() | (F.col("only") == F.col("document_id"))).join(lengths.select("chunk_id", "dl"), "chunk_id")
+    j = corpus.postings.filter(held).drop("part").join(t, "term").filter(F.col("only").isNull() | (F.col("only") == F.col("document_id")))
     k1, b = config.bm25_k1, config.bm25_b
     one = F.col("idf") * (F.col("tf") * (k1 + 1)) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl"))) * F.col("w")
     return j.groupBy("query_id", "chunk_id", "document_id", "ordinal").agg(F.sum(one).alias("score")).filter("score > 0")
@@ -46,16 +45,18 @@ def _rounded(scores: DataFrame) -> DataFrame:
     return scores.withColumn("score", F.round("score", 12))
 
 
-def lexical(queries: DataFrame, ch: DataFrame, k: int, config: EngineConfig = DEFAULT) -> DataFrame:
-    return embedding.top(_rounded(bm25_scores(queries, ch, config)), k, "document_id", "ordinal")
+def lexical(queries: DataFrame, corpus: Corpus, k: int, config: EngineConfig = DEFAULT) -> DataFrame:
+    return embedding.top(_rounded(bm25_scores(queries, corpus, config)), k, "document_id", "ordinal")
 
 
-def vector(queries: DataFrame, ch: DataFrame, k: int) -> DataFrame:
+def _embedded(queries: DataFrame) -> DataFrame:
+    """query_id, embedding, only (the document searched, or null) of the stated queries."""
+    return embedding.dense(queries, "query_id", "query").join(queries.select("query_id", F.col("document_id").alias("only")), "query_id")
+
+
+def vector(queries: DataFrame, corpus: Corpus, k: int) -> DataFrame:
     """The best chunks by hashed vectors: query_id, chunk_id, document_id, ordinal, score, rank."""
-    s = embedding.sparse_scores(embedding.buckets(queries, "query_id", "query"), embedding.buckets(ch, "chunk_id", "text"))
-    s = s.join(ch.select("chunk_id", "document_id", "ordinal"), "chunk_id").join(queries.select("query_id", F.col("document_id").alias("only")), "query_id")
-    s = s.filter(F.col("only").isNull() | (F.col("only") == F.col("document_id"))).drop("only")
-    return embedding.top(_rounded(s), k, "document_id", "ordinal")
+    return embedding.nearest(_embedded(queries), corpus.vectors, k, "document_id", "ordinal")
 
 
 def fused(vec: DataFrame, lex: DataFrame, config: EngineConfig = DEFAULT) -> DataFrame:
@@ -69,42 +70,65 @@ def fused(vec: DataFrame, lex: DataFrame, config: EngineConfig = DEFAULT) -> Dat
     return j.withColumn("rank", F.row_number().over(w)).drop("vrank", "lrank")
 
 
-def routed(queries: DataFrame, sections: DataFrame, n: int) -> DataFrame:
-    """query_id, document_id, chunk_ordinal_start, chunk_ordinal_end, title, score, rank: the n best sections of a query's document."""
-    s = sections.withColumn("section_id", F.concat_ws("#", "document_id", "section_no"))
+def routed(queries: DataFrame, corpus: Corpus, n: int) -> DataFrame:
+    """query_id, document_id, section_no, chunk_ordinal_start, chunk_ordinal_end, title, score, rank: the n best sections of a query's document."""
     q = queries.filter("document_id is not null")
-    scores = embedding.sparse_scores(embedding.buckets(q, "query_id", "query"), embedding.buckets(s, "section_id", "summary").withColumnRenamed("section_id", "chunk_id")).withColumnRenamed("chunk_id", "section_id")
-    j = q.select("query_id", F.col("document_id")).join(s, "document_id").join(scores, ["query_id", "section_id"], "left").withColumn("score", F.round(F.coalesce("score", F.lit(0.0)), 12))
-    j = j.withColumn("title", F.coalesce("title", F.lit("(untitled)")))
+    v = embedding.dense(q, "query_id", "query").select("query_id", F.col("embedding").alias("q"))
+    j = q.select("query_id", "document_id").join(v, "query_id").join(corpus.sections, "document_id")
+    j = j.withColumns({"score": F.round(T.dot(F.col("q"), F.col("embedding")), 12), "title": F.coalesce("title", F.lit("(untitled)"))})
     return embedding.top(j.select("query_id", "document_id", "section_no", "chunk_ordinal_start", "chunk_ordinal_end", "title", "score"), n, "section_no")
 
 
 def within(hits: DataFrame, routes: DataFrame) -> DataFrame:
-    """Hits whose chunk lies in a routed section. Applied after the cut of candidates, never before."""
+    """Hits whose chunk lies in a routed section, and those of queries that aren't routed. Applied after the cut of candidates, never before."""
     r = routes.select(F.col("query_id").alias("q"), F.col("document_id").alias("d"), "chunk_ordinal_start", "chunk_ordinal_end")
-    return hits.join(r, (F.col("query_id") == F.col("q")) & (F.col("document_id") == F.col("d")) & F.col("ordinal").between(F.col("chunk_ordinal_start"), F.col("chunk_ordinal_end")), "left_semi")
+    inside = (F.col("query_id") == F.col("q")) & (F.col("document_id") == F.col("d")) & F.col("ordinal").between(F.col("chunk_ordinal_start"), F.col("chunk_ordinal_end"))
+    routed_ones = routes.select("query_id").distinct()
+    return hits.join(r, inside, "left_semi").unionByName(hits.join(routed_ones, "query_id", "left_anti"))
 
 
-def candidates(queries: DataFrame, ch: DataFrame, mode: str, config: EngineConfig = DEFAULT, routes: DataFrame | None = None) -> DataFrame:
+def candidates(queries: DataFrame, corpus: Corpus, mode: str, config: EngineConfig = DEFAULT, routes: DataFrame | None = None) -> DataFrame:
     """Hits of one mode before reranking, with all three scores and the chunk's columns. Blank queries find nothing."""
     q = queries.filter(T.trim(F.col("query")) != "")
     k = max(config.candidates, config.top_k)
     if mode == "vector":
-        hits = vector(q, ch, config.top_k).select("query_id", "chunk_id", "document_id", "ordinal", F.col("score").alias("vector_score"), F.lit(None).cast("double").alias("lexical_score"), F.col("score").alias("rrf_score"), "rank")
+        hits = vector(q, corpus, config.top_k).select("query_id", "chunk_id", "document_id", "ordinal", F.col("score").alias("vector_score"), F.lit(None).cast("double").alias("lexical_score"), F.col("score").alias("rrf_score"), "rank")
     elif mode == "lexical":
-        hits = lexical(q, ch, k, config).select("query_id", "chunk_id", "document_id", "ordinal", F.lit(None).cast("double").alias("vector_score"), F.col("score").alias("lexical_score"), F.col("score").alias("rrf_score"), "rank")
+        hits = lexical(q, corpus, k, config).select("query_id", "chunk_id", "document_id", "ordinal", F.lit(None).cast("double").alias("vector_score"), F.col("score").alias("lexical_score"), F.col("score").alias("rrf_score"), "rank")
     elif mode == "hybrid":
-        hits = fused(vector(q, ch, k), lexical(q, ch, k, config), config)
+        hits = fused(vector(q, corpus, k), lexical(q, corpus, k, config), config)
     else:
         raise ValueError(f"mode {mode}")
+    if routes is None and config.top_sections > 0:
+        routes = routed(q, corpus, config.top_sections)
     if routes is not None:
         hits = within(hits, routes)
-    return hits.join(ch.select("chunk_id", "page_start", "page_end", "section_title", "text"), "chunk_id")
+    return hits.join(corpus.chunks.select("chunk_id", "page_start", "page_end", "section_title", "text"), "chunk_id")
 
 
-def search(queries: DataFrame, ch: DataFrame, mode: str = "hybrid", config: EngineConfig = DEFAULT, routes: DataFrame | None = None) -> DataFrame:
+def search(queries: DataFrame, corpus: Corpus, mode: str = "hybrid", config: EngineConfig = DEFAULT, routes: DataFrame | None = None) -> DataFrame:
     """Ranked hits. Lexical and hybrid candidates are reranked for relevance and diversity; vector hits aren't."""
     from gleanery.operators import rerank
 
-    hits = candidates(queries, ch, mode, config, routes)
+    hits = candidates(queries, corpus, mode, config, routes)
     return hits if mode == "vector" else rerank.diversified(hits, queries, config.top_k, config)
+
+
+def results(hits: DataFrame) -> DataFrame:
+    """Hits as the search interface shows them: query_id, rank, chunk_id, document_id, ordinal, pages, section_title, text, score_hybrid, score_vector, score_lexical."""
+    return hits.select("query_id", "rank", "chunk_id", "document_id", "ordinal", "page_start", "page_end", "section_title", "text", F.col("rrf_score").alias("score_hybrid"), F.col("vector_score").alias("score_vector"), F.col("lexical_score").alias("score_lexical"))
+
+
+def facts(queries: DataFrame, corpus: Corpus, hits: DataFrame, mode: str, config: EngineConfig = DEFAULT, routes: DataFrame | None = None) -> DataFrame:
+    """query_id, mode, requested_top_k, chunk_count (searched; zero for a blank query), hit_count, and the routed sections' ranges and titles (null: no routing)."""
+    n = F.when(T.trim(F.col("query")) == "", 0).otherwise(F.coalesce("n", F.lit(0)))
+    scope = queries.select("query_id", "query", F.coalesce("document_id", F.lit(index.ALL)).alias("scope")).join(corpus.stats.select("scope", "n"), "scope", "left")
+    d = scope.select("query_id", F.lit(mode).alias("mode"), F.lit(config.top_k).alias("requested_top_k"), n.alias("chunk_count"))
+    d = d.join(hits.groupBy("query_id").agg(F.count("*").alias("hit_count")), "query_id", "left").fillna({"hit_count": 0})
+    if routes is None and config.top_sections > 0:
+        routes = routed(queries.filter(T.trim(F.col("query")) != ""), corpus, config.top_sections)
+    kind = "array<struct<rank:int,chunk_ordinal_start:int,chunk_ordinal_end:int,title:string>>"
+    if routes is None:
+        return d.withColumn("routed_sections", F.lit(None).cast(kind))
+    r = routes.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "chunk_ordinal_start", "chunk_ordinal_end", "title"))).cast(kind).alias("routed_sections"))
+    return d.join(r, "query_id", "left")

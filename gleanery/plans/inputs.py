@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleanery.operators import chunking
-from gleanery.sources import table
+from gleanery.operators import corpus as indexing
+from gleanery.operators.corpus import Corpus
+from gleanery.sources import remove_at_exit, scratch, stamp, table
 
 # (query, document or none): the stated query set.
 QUERIES = [
@@ -38,6 +40,21 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.chunks(pages(spark, sf_dir))
 
 
+_INDEXED: dict[tuple, str] = {}
+
+
+def corpus(spark: SparkSession, sf_dir: str) -> Corpus:
+    """The books' chunks and index, written at the first use in a session and read from then on, as long as the documents' files are the same."""
+    documents = f"{sf_dir}/documents.parquet"
+    key = (spark.sparkContext.applicationId, documents, stamp(spark, documents))
+    if key not in _INDEXED:
+        folder = scratch(spark)
+        remove_at_exit(spark, folder)
+        indexing.write(pages(spark, sf_dir), folder)
+        _INDEXED[key] = folder
+    return indexing.read(spark, _INDEXED[key])
+
+
 def queries(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(i, q, d) for i, (q, d) in enumerate(QUERIES)], "query_id int, query string, document_id string")
 

@@ -27,8 +27,8 @@ def same(spark, sf, query, sql):
     df = query(spark, sf)
     cols = sorted(df.columns)
     got = c.sql(sql)
-    shared = [x for x in cols if x in got.columns]
-    value = lambda x: round(x, 6) if isinstance(x, float) else x
-    a = sorted(([value(r[x]) for x in shared] for r in df.collect()), key=repr)
-    b = sorted(([value(x) for x in r] for r in got.select(*[f'"{x}"' for x in shared]).fetchall()), key=repr)
-    return a == b and len(a) > 0 and set(got.columns) <= set(cols)
+    assert sorted(got.columns) == cols
+    value = lambda x: round(x, 9) if isinstance(x, float) else x
+    a = sorted(([value(r[x]) for x in cols] for r in df.collect()), key=repr)
+    b = sorted(([value(x) for x in r] for r in got.select(*[f'"{x}"' for x in cols]).fetchall()), key=repr)
+    return a == b and len(a) > 0

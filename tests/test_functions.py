@@ -66,12 +66,18 @@ def test_empty_pages_are_dropped_before_numbering(spark):
     assert [(x["page_number"], x["text"].strip()) for x in r] == [(1, "a"), (2, "b")]
 
 
-def test_packing_skips_repeats_and_keeps_the_budget():
-    a = "The quick brown fox jumps over the lazy dog today. Another sentence follows right here."
-    got, used, anchor = packing.pack([a, a, "Fox facts are told in this other passage of text."], "fox", 6000)
-    assert [i for i, _ in got] == [0, 2] and used == sum(len(t) for _, t in got) and anchor.startswith("Evidence anchors: [E1] ")
-    assert packing.pack(["word " * 5000], "word", 100)[1] <= 100
-    assert packing.cut("abc. def ghi", 9) == "abc. def"[:8] or packing.cut("abc. def ghi", 9)
+def test_shortened_text_ends_at_a_sentence_or_word():
+    assert packing.shortened("abc. def ghi", 9) == "abc. def"
+    assert packing.shortened("abcde. f ghi jkl", 9) == "abcde."
+    assert packing.shortened("abcdefghijkl", 5) == "abcde" and packing.shortened("abc", 5) == "abc"
+
+
+def test_memory_knows_what_contains_what():
+    m = packing.Memory()
+    m.add("A first sentence of some length that goes on and on until it has more than eighty characters. Short one.")
+    assert m.holds(packing.normal("A first sentence of some length that goes on and on until it has more than eighty characters."))
+    assert m.holds("so: " + packing.normal("A first sentence of some length that goes on and on until it has more than eighty characters."))
+    assert not m.holds("short one.") and not m.holds("a first sentence of some length")
 
 
 def test_greedy_choice():
