@@ -1,21 +1,26 @@
 """SentencePiece encoding and decoding as a weighted finite-state transducer.
 
-A model file is compiled into three machines. The normaliser maps spaces to the meta symbol and
-puts one before the text. The piece machine reads characters and writes pieces; its states are
-pieces, and a piece may follow another only if merging their characters by piece priority gives
-these two again (in a merge model one accepted path per string is left; its weight is 0). The
-byte fallback reads any character outside the vocabulary and writes its UTF-8 bytes, at a cost of
-one an arc. The composition with an input is a lattice over its characters; the tropical
-shortest path through it is the encoding. No piece holds the meta symbol after another character
-or a character outside the vocabulary, so the lattice falls apart into segments, whose paths are
-kept (up to CACHE of them; forgetting changes nothing).
-
-Null texts give null ids; an empty text gives none. Texts are taken whole. Decoding is exact for
-valid UTF-8; bytes that aren't decode to U+FFFD.
+A model file is compiled into three machines. The normaliser reads characters and writes the meta symbol for
+a space and before the text (and, if the file asks, one for several spaces and none at the ends). The piece machine reads
+what the normaliser writes and writes pieces; the weight of an arc is the negative score of its piece in a
+unigram model. In a merge model all pieces weigh 0 and the machine's states tell paths apart: a state is the last piece, and a piece
+may follow another only if merging their characters by priority gives these two again, which
+one path per string does. The byte fallback reads any character and writes its UTF-8 bytes (or, without byte pieces, the
+unknown piece), at a weight of one a byte, or of ten below the worst piece in a unigram model. Pieces that a user defined are matched first, the longest at each
+place. The composition of the machines with an input is a lattice over its characters, whose
+states are made as the search for the tropical shortest path (the least sum of weights) reaches them.
+
+No piece holds the meta symbol after another character, where the machine says so, and then the
+lattice falls apart at spaces into segments, whose paths are kept (up to CACHE of them; forgetting changes nothing).
+
+Null texts give null ids; an empty text gives none. Texts are taken whole. Equal texts get equal ids; equal weights go to the path whose last piece begins first;
+repeated rows each give a row; an empty table gives an empty result; extra columns are kept, those named like the output replaced. Decoding is exact for
+valid UTF-8 under an identity normaliser; bytes that aren't UTF-8 decode to U+FFFD. Files with a compiled character map, and merge models with unused pieces, are refused before any task starts.
 """
 
 from __future__ import annotations
 
+import heapq
 import re
 from array import array
 from collections import defaultdict
@@ -32,7 +37,8 @@ from pyspark.sql.types import ArrayType, DataType, IntegerType, StringType, Stru
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 META, CACHE, ROWS = "▁", 420_000, 500
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-BYTE_COST = 1
+UNIGRAM, MERGES = 1, 2
+BYTE_COST, UNKNOWN_COST = 1.0, 10.0
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, object]]:
@@ -65,6 +71,32 @@ def _fields(data: bytes) -> Iterator[tuple[int, object]]:
             i += n
 
 
+class Normaliser:
+    """A transducer on characters: an arc is found by state and kind of character (space or not) and gives what it writes and the next state."""
+
+    START, INSIDE, GAP = range(3)
+
+    def __init__(self, prefix: bool, squeeze: bool):
+        head = META if prefix else ""
+        # What `None` writes is the character itself.
+        self.arcs = {
+            (self.START, False): (head, True, self.INSIDE),
+            (self.INSIDE, False): ("", True, self.INSIDE),
+            (self.GAP, False): (META, True, self.INSIDE),
+            (self.START, True): ("", False, self.START) if squeeze else (head + META, False, self.INSIDE),
+            (self.INSIDE, True): ("", False, self.GAP) if squeeze else (META, False, self.INSIDE),
+            (self.GAP, True): ("", False, self.GAP),
+        }
+
+    def compose(self, text: str) -> str:
+        """What the machine writes for a text."""
+        state, out = self.START, []
+        for c in text:
+            written, itself, state = self.arcs[state, c == " "]
+            out.append(written + c if itself else written)
+        return "".join(out)
+
+
 class Transducer:
     """The compiled machines of one model file."""
 
@@ -83,13 +115,23 @@ class Transducer:
                 trainer = dict(_fields(value))
             elif field == 3:
                 normaliser = dict(_fields(value))
-        if trainer.get(3) != 2 or normaliser.get(2) or normaliser.get(4, 1) or not normaliser.get(3, 1):
-            raise NotImplementedError("only merge models with an identity normaliser, a dummy prefix and kept white space")
+        self.model = trainer.get(3, UNIGRAM)
+        if self.model not in (UNIGRAM, MERGES) or normaliser.get(2) or not normaliser.get(5, 1) or (self.model == MERGES and UNUSED in kinds):
+            raise NotImplementedError("only unigram and merge models without a compiled character map, and merge models without unused pieces")
+        self.squeezes = bool(normaliser.get(4, 1))
+        self.prefixes = bool(normaliser.get(3, 1))
+        self.normaliser = Normaliser(self.prefixes, self.squeezes)
         self.kinds = kinds
         self.priority = {p: s for p, s, k in zip(self.pieces, scores, kinds, strict=True) if k == NORMAL}
         self.ids = {p: i for i, (p, k) in enumerate(zip(self.pieces, kinds, strict=True)) if k == NORMAL}
         self.bytes = {int(p[3:5], 16): i for i, (p, k) in enumerate(zip(self.pieces, kinds, strict=True)) if k == BYTE}
         self.unknown = kinds.index(UNKNOWN)
+        #: Weights of piece arcs, and of the fallback's arcs.
+        self.weights = [-s if self.model == UNIGRAM else 0.0 for s in scores]
+        self.fallback = UNKNOWN_COST - min(self.priority.values(), default=0.0)
+        #: Pieces that a user defined, in a pattern that finds the longest at each place.
+        self.own = {p: i for i, (p, k) in enumerate(zip(self.pieces, kinds, strict=True)) if k == USER}
+        self.own_at = re.compile("|".join(map(re.escape, sorted(self.own, key=len, reverse=True)))) if self.own else None
         #: The piece machine's trie: from a character to the id of a whole piece (or -1) and the next node.
         self.trie: dict = {}
         for p, i in self.ids.items():
@@ -98,8 +140,8 @@ class Transducer:
                 node = node.setdefault(c, [-1, {}])[1]
             node.setdefault(p[-1], [-1, {}])[0] = i
         self.start = len(self.pieces)
-        self.alone = all(META not in p.lstrip(META) for p in self.ids)
-        self.breaks_lines = not any("\n" in p for p in self.ids)
+        self.alone = self.prefixes and all(META not in p.lstrip(META) for p in self.ids)
+        self.breaks_lines = self.model == MERGES and not any("\n" in p for p in self.ids)
         #: Arcs known so far, by state.
         self._follows: dict[int, dict[int, bool]] = defaultdict(dict)
         self._n_arcs = 0
@@ -143,55 +185,88 @@ class Transducer:
 
     def shortest_path(self, segment: str) -> bytes:
         """Tropical shortest path through the lattice of a normalised string: piece ids, 32 bits each."""
+        steps = self._least_merges(segment) if self.model == MERGES else self._least_unigrams(segment)
+        out: list[int] = []
+        for piece, start, end in steps:
+            if piece != self.start:
+                out.append(piece)
+            elif self.bytes:
+                out += [self.bytes.get(b, self.unknown) for b in segment[start:end].encode("utf-8", "replace")]
+            elif not out or out[-1] != self.unknown:
+                out.append(self.unknown)
+        return array("i", out).tobytes()
+
+    def _least_merges(self, segment: str) -> list[tuple[int, int, int]]:
+        """(state, start, end) of the arcs of the least path, by uniform cost: lattice states are settled in the order of their weight.
+
+        States of one weight are on a stack, the farthest on top; those of higher weights, which
+        byte arcs lead to, wait in a heap, and are never looked at if a path of less weight arrives.
+        """
         n, trie, follows = len(segment), self.trie, self._follows
-        # One state survives at each position: its piece (-1: none yet) and where its arc began.
-        # Piece arcs weigh nothing and at most one path of them reaches a position, so that the first
-        # to arrive is the shortest; byte arcs leave only where no piece arc can pass.
-        piece, back = [-1] * (n + 1), [0] * (n + 1)
-        piece[0] = self.start
-        for start in range(n):
-            last = piece[start]
-            if last < 0:
+        weight, stack, later, back = 0.0, [(0, self.start, 0, -1)], [], {}
+        while True:
+            if not stack:
+                weight, *state = heapq.heappop(later)
+                stack.append(tuple(state))
+            at, last, start, before = stack.pop()
+            if (at, last) in back:
                 continue
-            children, arcs, end = trie, follows[last], start
-            for c in segment[start:]:
+            back[at, last] = start, before
+            if at == n:
+                break
+            arcs, children, end = follows[last], trie, at
+            for c in segment[at:]:
                 node = children.get(c)
                 if node is None:
                     break
                 end += 1
                 i, children = node
-                if i >= 0 and piece[end] < 0:
+                if i >= 0:
                     known = arcs.get(i)
                     if known is None:
                         known = self.follows(last, i)
                     if known:
-                        piece[end], back[end] = i, start
-            if end == start:
-                piece[end + 1], back[end + 1] = self.start, start
-            if piece[n] >= 0:
-                break
-        out: list[int] = []
-        end = n
-        while end:
-            start = back[end]
-            if piece[end] == self.start:
-                out += reversed(self._bytes(segment[start:end]))
-            else:
-                out.append(piece[end])
-            end = start
-        out.reverse()
-        return array("i", out).tobytes()
-
-    def _bytes(self, char: str) -> tuple[int, ...]:
-        return tuple(self.bytes.get(b, self.unknown) for b in char.encode("utf-8", "replace"))
-
-    def _path(self, segment: str, key: str | None = None) -> bytes:
-        """The segment's path, kept under key: the segment, or the word that follows its meta symbol."""
-        key = segment if key is None else key
+                        stack.append((end, i, at, last))
+            heapq.heappush(later, (weight + BYTE_COST * len(segment[at].encode("utf-8", "replace")), at + 1, self.start, at, last))
+        steps = []
+        while at:
+            start, before = back[at, last]
+            steps.append((last, start, at))
+            at, last = start, before
+        return steps[::-1]
+
+    def _least_unigrams(self, segment: str) -> list[tuple[int, int, int]]:
+        """The same where the machine has one state: positions are settled from left to right."""
+        n, trie, weights = len(segment), self.trie, self.weights
+        least, back = [0.0] + [float("inf")] * n, [(-1, 0)] * (n + 1)
+        for at in range(n):
+            children, end, alone = trie, at, False
+            for c in segment[at:]:
+                node = children.get(c)
+                if node is None:
+                    break
+                end += 1
+                i, children = node
+                if i >= 0:
+                    alone |= end == at + 1
+                    if least[at] + weights[i] < least[end]:
+                        least[end], back[end] = least[at] + weights[i], (i, at)
+            if not alone and least[at] + self.fallback < least[at + 1]:
+                least[at + 1], back[at + 1] = least[at] + self.fallback, (self.start, at)
+        steps, at = [], n
+        while at:
+            piece, start = back[at]
+            steps.append((piece, start, at))
+            at = start
+        return steps[::-1]
+
+    def _path(self, segment: str, key: str) -> bytes:
+        """The segment's path, kept under key."""
         path = self._paths.get(key)
         if path is None:
             if "\n" in segment and len(segment) > 1 and self.breaks_lines:
-                return b"".join(self._path(x, x[1:] if x[0] == META and len(x) > 1 and x[1] != META else " " + x) for x in re.split("(\n)", segment) if x)
+                # No piece holds a line feed: the lattice falls apart there too.
+                return b"".join(self._path(x, " " + x) for x in re.split("(\n)", segment) if x)
             path = self._older.get(key) or self.shortest_path(segment)
             if len(segment) <= 64:
                 if len(self._paths) >= CACHE // 2:
@@ -200,18 +275,29 @@ class Transducer:
                 self._paths[key] = path
         return path
 
+    def _composed(self, normal: str) -> list[bytes]:
+        """Paths of a normalised text, in order."""
+        out, at = [], 0
+        for own in [*self.own_at.finditer(normal), None] if self.own_at else [None]:
+            part = normal[at : own.start() if own else len(normal)]
+            segments = re.findall(f"{META}+[^{META}]*|[^{META}]+", part) if self.alone else [part] if part else []
+            out += [self._path(x, " " + x) for x in segments]
+            if own:
+                out.append(array("i", [self.own[own[0]]]).tobytes())
+                at = own.end()
+        return out
+
     def encode(self, text: str) -> np.ndarray:
         """The piece ids of a text."""
         if not text:
             return np.zeros(0, dtype=np.int32)
         paths = self._paths
         words = text.split(" ")
-        if self.alone and "" not in words and META not in text:
-            out = [paths.get(w) or self._path(META + w, w) for w in words]
+        if self.alone and not self.own and "" not in words and META not in text:
+            # After a space or at the start, the normaliser is in one state: each word is a segment of its own.
+            out = [paths.get(w) or self._path(self.normaliser.compose(w), w) for w in words]
         else:
-            normal = META + text.replace(" ", META)
-            segments = re.findall(f"{META}+[^{META}]*|[^{META}]+", normal) if self.alone else [normal]
-            out = [self._path(s, " " + s) for s in segments]
+            out = self._composed(self.normaliser.compose(text))
         return np.frombuffer(b"".join(out), dtype=np.int32)
 
     def decode(self, ids) -> str:
@@ -232,7 +318,7 @@ class Transducer:
                 out.append(" ⁇ ")
         out.append(pending.decode("utf-8", "replace"))
         text = "".join(out).replace(META, " ")
-        return text[1:] if text.startswith(" ") else text
+        return text[1:] if self.prefixes and text.startswith(" ") else text
 
 
 @lru_cache(maxsize=4)
@@ -242,6 +328,7 @@ def compiled(data: bytes) -> Transducer:
 
 def _machine(model_path: str):
     data = Path(model_path).read_bytes()  # a vocabulary file: half a megabyte, sent with the tasks
+    compiled(data)  # a file that can't be compiled is refused here
     return lambda: compiled(data)
 
 
