@@ -5,24 +5,28 @@ relative frequency and inverse document frequency. The weights are learned by
 follow-the-regularised-leader with an elastic-net penalty; a temperature, fitted on a fifth of
 the sample that the weights don't see, calibrates the probabilities.
 
-The classifier is fitted on a bounded sample: for each language the PER_LANGUAGE labelled
-documents of least hashed doc_id, among those of at most LONGEST code points. Every document is
-then scored by its whole text. Null texts and texts without a letter are `und`, score 0; so is
-all, if there's nothing to learn from. Null doc_ids hash as the empty string.
+The classifier is fitted on a bounded sample: for each language the labelled documents of least hash of doc_id and text, PER_LANGUAGE
+of them (fewer where there are so many languages that MOST_DOCUMENTS would be exceeded, but one at least), of which
+at most the first LONGEST code points are learnt from. No language is left out. Every document is
+then scored by its whole text, however long. Null texts and texts without a letter are `und`, score 0; so is
+all, if there's nothing to learn from, as in an empty table. Null doc_ids hash as the empty string; repeated rows are scored alike, and count as
+often as they are in the sample; languages of equal probability: the first by name. Extra columns play no part and may have any name.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-PER_LANGUAGE, LONGEST, MOST_LANGUAGES = 400, 20_000, 400
+from gleanery.llm.common import packed, unpacked
+
+PER_LANGUAGE, LONGEST, MOST_DOCUMENTS = 400, 20_000, 160_000
 DIMENSIONS, EPOCHS, SCALE = 1 << 16, 3, 30.0
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.002, 0.01
 #: The pipeline rejects documents below this probability.
@@ -129,32 +133,48 @@ def held_out(doc_id: Column) -> Column:
 
 def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     """Fit on the bounded sample of labelled documents that aren't held out."""
-    pool = docs.filter(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") <= LONGEST))
-    pool = pool.select("lang", "text", F.xxhash64(F.col("doc_id"), F.lit("sample")).alias("h"))
-    counts = {r["lang"]: r["count"] for r in pool.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()}
+    pool = docs.filter(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    pool = pool.select("lang", F.substring("text", 1, LONGEST).alias("text"), F.xxhash64(F.col("doc_id"), F.col("text"), F.lit("sample")).alias("h"))
+    counts = {r["lang"]: r["count"] for r in pool.groupBy("lang").count().collect()}
     if not counts:
         return Model([], np.zeros((DIMENSIONS, 0), dtype=np.float32), np.zeros(0, dtype=np.float32))
-    # A share of the hash range that holds about twice what is wanted; the least of those are kept.
-    share = lambda n: min(1.0, 2 * per_language / n)
-    limit = F.lit(None).cast("long")
+    want = max(1, min(per_language, MOST_DOCUMENTS // len(counts)))
+    # A share of the hash range that holds about twice what is wanted, so that little is sorted; the least of those are kept.
+    # Repeated rows share a hash: where they fill or leave the share, the language is sorted whole.
+    limit = F.lit(2**63 - 1)
     for lang, n in counts.items():
-        limit = F.when(F.col("lang") == lang, int(-(2**63) + share(n) * (2**64 - 1)) if share(n) < 1 else 2**63 - 1).otherwise(limit)
-    by_language = defaultdict(list)
-    for r in pool.filter(F.col("h") <= limit).collect():
-        by_language[r["lang"]].append((r["h"], r["text"]))
-    return fit([(text, lang) for lang in sorted(by_language) for _, text in sorted(by_language[lang])[:per_language]])
+        if n > 4 * want:
+            limit = F.when(F.col("lang") == lang, int(-(2**63) + 2 * want / n * 2**64)).otherwise(limit)
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))
+
+    def least(rows: DataFrame) -> list:
+        return rows.withColumn("n", rank).filter(F.col("n") <= want).select("lang", "text").collect()
+
+    rows = least(pool.filter(F.col("h") <= limit))
+    held = Counter(r["lang"] for r in rows)
+    if short := [x for x, n in counts.items() if held[x] < min(n, want)]:
+        rows = [r for r in rows if r["lang"] not in short] + least(pool.filter(F.col("lang").isin(short)))
+    return fit(sorted((r["text"], r["lang"]) for r in rows))
 
 
 def predicted(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with lang_pred and score; no column but text is looked at."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most DIMENSIONS x MOST_LANGUAGES floats
+    """docs with lang_pred and score, which replace columns of these names; no column but text is looked at."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # DIMENSIONS floats a language
 
     @F.pandas_udf("lang_pred string, score double")
     def predict(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in texts:
             yield pd.DataFrame([shared.value.predict(t) for t in batch], columns=["lang_pred", "score"])
 
-    return docs.withColumn("_p", predict("text")).select(*docs.columns, "_p.*")
+    kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    d = packed(docs, found=predict("text"))
+    return d.select(*[F.col("row").getField(c).alias(c) for c in kept], "found.*")
+
+
+def confident(docs: DataFrame, model: Model) -> DataFrame:
+    """The documents whose language is told with a probability of at least LEAST_SCORE, all columns as they are."""
+    d = predicted(packed(docs, text=F.col("text")), model)
+    return unpacked(d.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_SCORE)), docs.columns)
 
 
 def digest(docs: DataFrame) -> DataFrame:
