@@ -1,13 +1,14 @@
 """Sharding: a keyed Feistel permutation with cycle walking over global row numbers.
 
-Row numbers run from 0 over the rows by (bucket of the hashed doc_id, doc_id, size, checksum).
+Row numbers run from 0 over the rows by (bucket of the hash of doc_id, size and checksum; doc_id, size, checksum),
+so that rows which share only a doc_id, or have none, fall into different buckets.
 The network permutes the least even-bit domain that holds all rows; a number that leaves the
 range walks on until it comes back, so the result is a permutation of the rows themselves.
 Position p goes to shard p mod S, slot p div S: counts differ by at most one (law `rows`), and
 both directions can be computed without the data.
 
-Null texts have no bytes (size 8, checksum 0); rows that agree in all of these columns are
-interchangeable; null doc_ids are one bucket; an empty table gives an empty result.
+Null texts have no bytes (size 8, checksum 0); null doc_ids come first in their bucket; rows that agree in all of these columns are
+interchangeable, one bucket and each a row; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -71,9 +72,9 @@ class Permutation:
         return self.backward(np.asarray(slot) * shards + np.asarray(shard))
 
 
-def numbered(rows: DataFrame, key: str, order: list[str]) -> tuple[DataFrame, np.ndarray]:
+def numbered(rows: DataFrame, order: list[str]) -> tuple[DataFrame, np.ndarray]:
     """Add _bucket and _rank (from 1) to rows; the first row number of each bucket, and last the count of all."""
-    bucket = F.pmod(F.xxhash64(F.col(key)), F.lit(BUCKETS)).cast("int")
+    bucket = F.pmod(F.xxhash64(*order), F.lit(BUCKETS)).cast("int")
     counts = np.zeros(BUCKETS, dtype=np.int64)
     for r in rows.select(bucket.alias("b")).groupBy("b").count().collect():
         counts[r["b"]] = r["count"]
@@ -85,7 +86,7 @@ def shard(docs: DataFrame, shards: int = SHARDS, key: int = KEY) -> DataFrame:
     """doc_id, size, text_crc32, row_number, shard, slot. Texts themselves aren't moved."""
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select("doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
-    ranked, starts = numbered(rows, "doc_id", ["doc_id", "size", "text_crc32"])
+    ranked, starts = numbered(rows, ["doc_id", "size", "text_crc32"])
     permutation = Permutation(int(starts[-1]), key)
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
