@@ -6,8 +6,9 @@ elements by that order's hash of (k-mer, occurrence) are selected, put back into
 hashed together to 32 bits: an entry changes when a selected element is lost and also when two
 change places, as edit distance does. Likeness of two signatures: the share of equal entries.
 
-An order's hash is computed for all elements, but only values under a threshold, below which
-ENOUGH of them are expected, are sorted; where fewer than L lie there, all are.
+An order begins with those elements whose hash has two certain bits zero, other bits for each order, and goes on by a hash
+of its own. That hash is computed for the quarter with the zeros, and only values under a threshold, below which
+ENOUGH of them are expected, are sorted; where fewer than L are left by either step, it is undone.
 
 Fewer than K words are one k-mer; fewer than L elements are all selected. An empty or null text has
 an empty fingerprint; two such have likeness 1, one of them and another text 0. Equal texts have equal fingerprints.
@@ -48,27 +49,46 @@ def elements(df: DataFrame, text: str, out: str) -> DataFrame:
     return pinned(d, **{out: F.concat(F.transform("f_", lambda x: number(x, F.lit(0))), F.when(F.size("h_") > 0, F.flatten(runs)).otherwise(F.expr(_NONE)))}).drop("f_", "r_", "h_")
 
 
+def zeros(r: int) -> int:
+    """The two bits that order r begins with: neighbours among the 36 upper ones of a hash, the first 18 pairs apart from one another."""
+    return 3 << AT + (2 * r - 2 if r <= 18 else 6 * (r - 19) % 34 + 1)
+
+
 def signature(df: DataFrame, text: str, out: str) -> DataFrame:
     """Add the signature of a text column: ORDERS entries of eight hex digits, or none."""
     d = elements(df, text, "e_")
     n = F.size("e_")
-    share = F.least(F.lit(float(ENOUGH)) / n, F.lit(1.0))
-    d = pinned(d, t_=F.when(n <= ENOUGH, F.lit((1 << 63) - 1)).otherwise((share * float(1 << 64) - float(1 << 63)).cast("long")))
-    rank = lambda x, r: F.xxhash64(F.shiftright(x, AT), r)
+    share = F.lit(4.0 * ENOUGH) / n
+    d = pinned(d, t_=F.when(n <= 4 * ENOUGH, F.lit(-1).cast("long")).otherwise((share * float(1 << 63) - float(1 << 63)).cast("long")))
+    hashed = lambda x, r: F.xxhash64(F.shiftright(x, AT), r)
+
+    def rank(x: Column, r: Column, bits: Column) -> Column:
+        """The order's hash, its sign taken for the zeros: elements with them are negative, and so come first."""
+        h = hashed(x, r)
+        return F.when(x.bitwiseAND(bits) == 0, h.bitwiseOR(F.lit(-(1 << 63)))).otherwise(h.bitwiseAND(F.lit((1 << 63) - 1)))
 
-    def entry(few: Column, r: Column) -> Column:
-        few = F.when(F.size(few) >= F.least(F.lit(L), n), few).otherwise(F.col("e_"))
-        ranked = F.transform(few, lambda x: rank(x, r).bitwiseAND(F.lit(~POSITION)).bitwiseOR(x.bitwiseAND(F.lit(POSITION))))
+    def entry(few: Column, r: Column, bits: Column) -> Column:
+        ranked = F.transform(few, lambda x: rank(x, r, bits).bitwiseAND(F.lit(~POSITION)).bitwiseOR(x.bitwiseAND(F.lit(POSITION))))
         least = F.slice(F.sort_array(ranked), F.lit(1), F.lit(L))
         in_text = F.sort_array(F.transform(least, lambda y: F.shiftleft(y.bitwiseAND(F.lit(POSITION)), 64 - AT - 1).bitwiseOR(F.shiftrightunsigned(y, AT + 1))))
         tied = F.xxhash64(F.transform(in_text, lambda y: y.bitwiseAND(F.lit((1 << 64 - AT - 1) - 1))))
         return F.right(F.lpad(F.lower(F.hex(tied)), 16, "0"), F.lit(8))
 
-    def of(r: Column) -> Column:
-        few = F.filter("e_", lambda x: rank(x, r) <= F.col("t_"))
-        return F.get(F.transform(F.array(few), lambda xs: entry(xs, r)), F.lit(0))  # one evaluation of `few`
+    def bound(value: Column, use) -> Column:
+        """What use makes of a value that is evaluated once."""
+        return F.get(F.transform(F.array(value), use), F.lit(0))
+
+    low = lambda x, r: hashed(x, r).bitwiseOR(F.lit(-(1 << 63))) <= F.col("t_")
+    enough = lambda xs: F.size(xs) >= L
+
+    def of(order: Column) -> Column:
+        r, bits = order["r"], order["bits"]
+        quarter = F.filter("e_", lambda x: x.bitwiseAND(bits) == 0)
+        cut = lambda xs: bound(F.filter(xs, lambda x: low(x, r)), lambda ys: F.when(enough(ys), ys).otherwise(xs))
+        return bound(bound(quarter, lambda xs: F.when(enough(xs), cut(xs)).otherwise(F.col("e_"))), lambda few: entry(few, r, bits))
 
-    entries = F.transform(F.array(*map(F.lit, range(1, ORDERS + 1))), of)
+    orders = [F.struct(F.lit(r).alias("r"), F.lit(zeros(r)).cast("long").alias("bits")) for r in range(1, ORDERS + 1)]
+    entries = F.transform(F.array(*orders), of)
     return pinned(d, **{out: F.when(n > 0, entries).otherwise(F.expr("cast(array() as array<string>)"))}).drop("e_", "t_")
 
 
