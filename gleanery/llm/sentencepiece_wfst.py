@@ -122,6 +122,7 @@ class Transducer:
         self.prefixes = bool(normaliser.get(3, 1))
         self.normaliser = Normaliser(self.prefixes, self.squeezes)
         self.kinds = kinds
+        self.shown = [p.replace(META, " ") for p in self.pieces]
         self.priority = {p: s for p, s, k in zip(self.pieces, scores, kinds, strict=True) if k == NORMAL}
         self.ids = {p: i for i, (p, k) in enumerate(zip(self.pieces, kinds, strict=True)) if k == NORMAL}
         self.bytes = {int(p[3:5], 16): i for i, (p, k) in enumerate(zip(self.pieces, kinds, strict=True)) if k == BYTE}
@@ -303,7 +304,7 @@ class Transducer:
     def decode(self, ids) -> str:
         out: list[str] = []
         pending = bytearray()
-        pieces, kinds = self.pieces, self.kinds
+        pieces, kinds, shown = self.pieces, self.kinds, self.shown
         for i in ids.tolist() if isinstance(ids, np.ndarray) else ids:
             kind = kinds[i]
             if kind == BYTE:
@@ -313,11 +314,11 @@ class Transducer:
                 out.append(pending.decode("utf-8", "replace"))
                 pending.clear()
             if kind == NORMAL or kind == USER:
-                out.append(pieces[i])
+                out.append(shown[i])
             elif kind == UNKNOWN:
                 out.append(" ⁇ ")
         out.append(pending.decode("utf-8", "replace"))
-        text = "".join(out).replace(META, " ")
+        text = "".join(out)
         return text[1:] if self.prefixes and text.startswith(" ") else text
 
 
