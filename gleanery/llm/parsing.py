@@ -13,14 +13,14 @@ BOUNDARY = U(0)
 class WordNames(dict):
     """Names of words: their XXH64, never zero. Forgets all when full, which changes no name."""
 
-    def __init__(self, most: int = 300_000):
+    def __init__(self, seed: int = 42, most: int = 300_000):
         super().__init__()
-        self.most = most
+        self.seed, self.most = seed, most
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.most:
             self.clear()
-        name = self[word] = xxhash.xxh64_intdigest(word, 42) or 1
+        name = self[word] = xxhash.xxh64_intdigest(word, self.seed) or 1
         return name
 
 
