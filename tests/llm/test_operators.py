@@ -4,6 +4,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
@@ -330,6 +331,22 @@ def test_repeated_windows_are_those_of_brute_force(spark, edges):
         assert (i, len(w), len(gone), hashlib.sha256(kept).hexdigest()) in got
 
 
+def test_collisions_are_seen_and_cost_no_word(spark, edges, monkeypatch):
+    """With hashes of six bits at the first try, everything collides; the second try counts."""
+    windows, tries = substring_dedup._windows, []
+
+    def poor(batches, tried=0):
+        for x in windows(batches, tried):
+            h = x.column("h").to_numpy()
+            yield x.set_column(0, "h", pa.array(h & 63 if tried == 0 else h))
+
+    found = substring_dedup.found
+    want = sorted(map(tuple, substring_dedup.digest(edges).collect()), key=repr)
+    monkeypatch.setattr(substring_dedup, "_windows", poor)
+    monkeypatch.setattr(substring_dedup, "found", lambda docs, tried=0: tries.append(tried) or found(docs, tried))
+    assert sorted(map(tuple, substring_dedup.digest(edges).collect()), key=repr) == want and tries == [0, 1]
+
+
 def test_language_is_told_on_held_out_documents(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     rows = language_id.digest(docs).join(docs.select("doc_id", "lang"), "doc_id").filter("held_out").collect()
