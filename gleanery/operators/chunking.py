@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleanery.functions import text as T
+from gleanery.sources import written
 
 TARGET, OVERLAP, KEYWORDS, SECTION_KEYWORDS, SECTION_SUMMARY = 1200, 200, 8, 10, 600
 _before = (Window.unboundedPreceding, -1)
@@ -105,7 +106,7 @@ def overlap_prefix(core: Column) -> Column:
 
 def chunks(pages: DataFrame) -> DataFrame:
     """chunk_id, document_id, ordinal, text, core, page_start, page_end, char_start, char_end, section_idx, section_title, overlap_prefix_len."""
-    secs = sections(pages)
+    secs = written(sections(pages))  # read twice below, so that lines are cut once
     d = secs.join(spans(secs), ["document_id", "section_idx"]).select("document_id", "section_idx", "title", "char_start", "body", F.posexplode("spans").alias("k", "x"))
     d = d.select("document_id", "section_idx", "k", F.col("title").alias("section_title"), (F.col("char_start") + F.col("x.s")).alias("char_start"), (F.col("char_start") + F.col("x.e")).alias("char_end"), F.expr("substring(body, cast(x.s + 1 as int), cast(x.e - x.s as int))").alias("core"))
     in_doc, in_section = Window.partitionBy("document_id").orderBy("section_idx", "k"), Window.partitionBy("document_id", "section_idx").orderBy("k")

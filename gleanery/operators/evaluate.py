@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleanery.functions import text as T
+from gleanery.sources import written
 
 
 def retrieval(gold: DataFrame, hits: DataFrame, k: int) -> DataFrame:
@@ -16,8 +17,13 @@ def retrieval(gold: DataFrame, hits: DataFrame, k: int) -> DataFrame:
 
 
 def latency(samples: DataFrame, name: str, ms: str) -> DataFrame:
-    """Average and floor-index percentiles by name."""
-    return samples.groupBy(name).agg(F.count("*").alias("n"), F.avg(ms).alias("avg_ms"), T.percentile_floor(F.collect_list(ms), 0.5).alias("p50_ms"), T.percentile_floor(F.collect_list(ms), 0.95).alias("p95_ms"))
+    """Average and floor-index percentiles by name. Equal values are counted before they are ranked; no group is collected into one row."""
+    counted = samples.groupBy(name, ms).agg(F.count("*").alias("c"))
+    whole = samples.groupBy(name).agg(F.count("*").alias("n"), F.avg(ms).alias("avg_ms")).withColumnRenamed(name, "_name")
+    w = Window.partitionBy(name).orderBy(ms).rowsBetween(Window.unboundedPreceding, 0)
+    d = counted.withColumn("upto", F.sum("c").over(w)).join(whole, F.col(name).eqNullSafe(F.col("_name")))
+    at = lambda p: F.min(F.when(F.col("upto") > F.floor((F.col("n") - 1) * p), F.col(ms)))
+    return d.groupBy(name).agg(F.first("n").alias("n"), F.first("avg_ms").alias("avg_ms"), at(0.5).alias("p50_ms"), at(0.95).alias("p95_ms"))
 
 
 def faithfulness(results: DataFrame) -> DataFrame:
@@ -45,11 +51,17 @@ def sample(ch: DataFrame, n: int, seed: int = 42) -> DataFrame:
         chosen.append(b)
     spark = ch.sparkSession
     picks = spark.createDataFrame(list(enumerate(chosen)), "pick int, position long")
-    # Positions: a running count over documents of chunk counts, so that no task numbers all chunks.
-    counts = ch.groupBy("document_id").agg(F.count("*").alias("c"))
-    starts = counts.withColumn("start", F.sum("c").over(Window.orderBy("document_id")) - F.col("c")).select("document_id", "start")
+    # Positions: running counts of chunks over ranges of documents, then over the documents of a range; the driver gets one number a range.
+    counts = written(ch.groupBy("document_id").agg(F.count("*").alias("c")).repartitionByRange("document_id").withColumn("range", F.spark_partition_id()))
+    before, at = [], 0
+    for r in sorted(counts.groupBy("range").agg(F.sum("c").alias("c")).collect()):
+        before.append((r["range"], at))
+        at += r["c"]
+    ranges = spark.createDataFrame(before, "range int, before long")
+    inner = F.sum("c").over(Window.partitionBy("range").orderBy("document_id")) - F.col("c")
+    starts = counts.withColumn("inner", inner).join(ranges, "range").select("document_id", (F.col("before") + F.col("inner")).alias("start"))
     numbered = ch.join(starts, "document_id").withColumn("position", F.col("start") + F.col("ordinal"))
-    return numbered.join(F.broadcast(picks), "position").select("pick", "chunk_id", "document_id", "ordinal")
+    return numbered.join(picks, "position").select("pick", "chunk_id", "document_id", "ordinal")
 
 
 def stub_questions(ch: DataFrame) -> DataFrame:

@@ -185,8 +185,8 @@ QUERIES = {
     "eval_retrieval": (lambda s, d: _eval("lexical")(s, d).unionByName(_eval("vector")(s, d)).unionByName(_eval("hybrid")(s, d)), " UNION ALL ".join(f"(SELECT * FROM ({_eval_sql(m)}))" for m in ("lexical", "vector", "hybrid"))),
     "eval_answer": (lambda s, d: V.faithfulness(table(s, d, "labels").select(F.when(F.col("doc_id") % 5 > 0, F.col("quality") == 1).alias("faithful"), (F.col("toxic") == 1).alias("insufficient"), (F.col("doc_id") % 2 == 0).alias("requery"))).withColumn("faithfulness", F.round("faithfulness", 7)), "SELECT round(avg(CASE WHEN doc_id % 5 > 0 THEN CAST(quality = 1 AS INTEGER) END), 7) AS faithfulness, count(*) FILTER (WHERE toxic = 1) AS insufficient_count, count(*) FILTER (WHERE doc_id % 2 = 0) AS requery_count, count(*) AS n FROM labels"),
     "eval_report": (_reported, f"SELECT mode, recall_at_k, mrr, n FROM ({_eval_sql('hybrid')})"),
-    "sample_chunks": (lambda s, d: V.sample(N.chunks(s, d), 20), None),
-    "stub_questions": (lambda s, d: V.stub_questions(N.chunks(s, d)), N.with_sql(N.UP_TO_CHUNKS, "SELECT chunk_id, 'What does chunk ' || ordinal || ' describe?' AS question, left(text, 200) AS gold_answer FROM chunks")),
+    "sample_chunks": (lambda s, d: V.sample(N.corpus(s, d).chunks, 20), None),
+    "stub_questions": (lambda s, d: V.stub_questions(N.corpus(s, d).chunks), N.with_sql(N.UP_TO_CHUNKS, "SELECT chunk_id, 'What does chunk ' || ordinal || ' describe?' AS question, left(text, 200) AS gold_answer FROM chunks")),
     "default_queries": (lambda s, d: (lambda ch: V.default_queries(ch, ch.join(C.summaries(ch).select("chunk_id", "summary"), "chunk_id").join(C.keywords(ch), "chunk_id", "left")))(N.corpus(s, d).chunks), N.with_sql(N.UP_TO_CHUNKS + ",\n" + PI._KEYWORDS, rf"""SELECT row_number() OVER (ORDER BY document_id, ordinal, k) AS place, query FROM (
       SELECT query, p.document_id AS document_id, p.ordinal AS ordinal, p.k AS k FROM (SELECT query, min(struct_pack(document_id := document_id, ordinal := ordinal, k := k)) AS p FROM (
         SELECT document_id, ordinal, k, CASE WHEN length({PF._COLLAPSED("raw")}) <= 80 THEN {PF._COLLAPSED("raw")} ELSE left({PF._COLLAPSED("raw")}, 79) || '...' END AS query FROM (
@@ -195,6 +195,6 @@ QUERIES = {
     "list_documents": (lambda s, d: _meta_columns(store.listed(_meta(s, d))), f"WITH {_META} SELECT * FROM meta"),
     "get_document": (lambda s, d: _meta_columns(store.get(_meta(s, d), "7")), f"WITH {_META} SELECT * FROM meta WHERE id = '7'"),
     "upsert_documents": (lambda s, d: _meta_columns(store.upserted(_meta(s, d), _meta(s, d).filter("size_bytes > 2000").withColumn("status", F.lit("pending")))), f"WITH {_META} SELECT id, filename, size_bytes, CASE WHEN size_bytes > 2000 THEN 'pending' ELSE status END AS status, created FROM meta"),
-    "delete_document": (lambda s, d: store.deleted(N.chunks(s, d), s.createDataFrame([("book1",)], "id string"), "document_id").select("chunk_id"), N.with_sql(N.UP_TO_CHUNKS, "SELECT chunk_id FROM chunks WHERE document_id <> 'book1'")),
+    "delete_document": (lambda s, d: store.deleted(N.corpus(s, d).chunks, s.createDataFrame([("book1",)], "id string"), "document_id").select("chunk_id"), N.with_sql(N.UP_TO_CHUNKS, "SELECT chunk_id FROM chunks WHERE document_id <> 'book1'")),
     "ingest_status": (_ingested, N.with_sql(N.PAGES, rf"SELECT document_id AS id, CASE WHEN document_id = 'book2' THEN 'failed' ELSE 'ready' END AS status, CASE WHEN document_id = 'book2' THEN 'no text in it' END AS error, CASE WHEN document_id <> 'book2' THEN CAST(count(*) FILTER (WHERE {N.trim_sql('text')} <> '') AS INTEGER) END AS num_pages FROM pages GROUP BY document_id")),
 }
