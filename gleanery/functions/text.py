@@ -233,3 +233,21 @@ def progress_pct(current: Column, total: Column) -> Column:
 def estimate_chunks(size_bytes: Column, pages: Column) -> Column:
     by_size = F.greatest(F.lit(1), F.floor(size_bytes / 2200 + 0.5).cast("int"))
     return F.greatest(by_size, F.coalesce(pages * 3, F.lit(0)))
+
+
+# Commands of formulas and what a preview shows for them, in the order in which they are replaced.
+FORMULA_COMMANDS = (
+    (r"\\text\{([^{}]+)\}", "$1"), (r"\\mathrm\{([^{}]+)\}", "$1"), (r"\\frac\{([^{}]+)\}\{([^{}]+)\}", "$1⁄$2"), (r"\\sqrt\{([^{}]+)\}", "√($1)"), (r"\\left", ""), (r"\\right", ""),
+    (r"\\cdot", "·"), (r"\\times", "×"), (r"\\leq", "≤"), (r"\\geq", "≥"), (r"\\neq", "≠"), (r"\\approx", "≈"), (r"\\sum", "Σ"), (r"\\prod", "Π"), (r"\\int", "∫"), (r"\\infty", "∞"),
+    (r"\\alpha", "α"), (r"\\beta", "β"), (r"\\gamma", "γ"), (r"\\delta", "δ"), (r"\\theta", "θ"), (r"\\lambda", "λ"), (r"\\mu", "μ"), (r"\\pi", "π"), (r"\\sigma", "σ"), (r"\\omega", "ω"),
+)
+# What is tidied up after them.
+FORMULA_REST = ((r"\^\{([^{}]+)\}", "^$1"), (r"_\{([^{}]+)\}", "_$1"), (r"[{}]", ""), (r"\\", ""), (r"\s*=\s*", " = "), (r"\s*\+\s*", " + "))
+
+
+def formula_preview(c: Column) -> Column:
+    """A formula's source as one readable line."""
+    c = trim(c)
+    for pattern, by in (*FORMULA_COMMANDS, *FORMULA_REST):
+        c = F.regexp_replace(c, pattern, by)
+    return trim(collapse(c))

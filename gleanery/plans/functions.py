@@ -145,6 +145,12 @@ def _bytes_sql(n: str) -> str:
     return out
 
 
+def _formula_sql(x: str) -> str:
+    for pattern, by in (*T.FORMULA_COMMANDS, *T.FORMULA_REST):
+        x = f"regexp_replace({x}, '{pattern}', '{by.replace('$', chr(92))}', 'g')"
+    return _COLLAPSED(x)
+
+
 def _boundary_sql(x: str, most: int | str) -> str:
     cut = f"left({x}, {most})"
     last = lambda m: f"(CASE WHEN contains({cut}, '{m}') THEN length({cut}) - strpos(reverse({cut}), '{m[::-1]}') - {len(m) - 1} ELSE -1 END)"
@@ -225,6 +231,7 @@ QUERIES = {
         lambda s, d: embedding.nearest(table(s, d, "embeddings").filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding", F.lit(None).cast("string").alias("only")), table(s, d, "embeddings").select("vec_id", "embedding"), 10, "vec_id").withColumn("score", F.round("score", 9)),
         "WITH s AS (SELECT q.vec_id AS query_id, v.vec_id, round(list_sum(list_transform(generate_series(1, len(q.embedding)), lambda i: q.embedding[i]::DOUBLE * v.embedding[i]::DOUBLE)), 9) AS score FROM embeddings q, embeddings v WHERE q.vec_id % 20 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s WHERE score > 0) SELECT query_id, vec_id, score, rank FROM r WHERE rank <= 10",
     ),
+    "formula_preview": (_docs(lambda c: T.formula_preview(F.concat(F.lit(r"\frac{a_{i}}{b^{2n}} \leq \left( \text{"), F.left(F.regexp_replace(c, r"[{}\\]", ""), F.lit(300)), F.lit(r"} \right)+x=\sqrt{\pi}")))), _D(_formula_sql(r"'\frac{a_{i}}{b^{2n}} \leq \left( \text{' || left(regexp_replace(text, '[{}\\]', '', 'g'), 300) || '} \right)+x=\sqrt{\pi}'"))),
     "pagination": (_EVENTS(lambda e: views.pagination(e.select(F.col("event_id").alias("id"), (F.col("event_id") % 97).alias("total"), (F.col("user_id") % 30).alias("page")))), "WITH t AS (SELECT event_id AS id, event_id % 97 AS total, user_id % 30 AS page FROM events), p AS (SELECT *, greatest(1, CAST(ceil(total / 5.0::DOUBLE) AS INTEGER)) AS total_pages FROM t), c AS (SELECT *, CAST(least(greatest(1, page), total_pages) AS INTEGER) AS current FROM p) SELECT id, total_pages, current, (current - 1) * 5 + 1 AS first, least(total, current * 5) AS last, array_to_string(list_filter(generate_series(1, total_pages), lambda x: x = 1 OR x = total_pages OR abs(x - current) <= 1), ',') AS pages FROM c"),
     "upload_validate": (lambda s, d: store.validated(table(s, d, "documents").select(F.concat(F.lit("f"), "doc_id", F.when(F.col("doc_id") % 3 == 0, ".PDF").otherwise(".txt")).alias("filename"), F.when(F.col("doc_id") % 4 == 0, "").when(F.col("doc_id") % 4 == 1, "application/pdf").otherwise("text/plain").alias("content_type"), (F.col("n_chars") * 100000).alias("size_bytes"))), "SELECT *, CASE WHEN NOT (content_type IN ('', 'application/pdf') OR ends_with(lower(filename), '.pdf')) THEN 415 WHEN size_bytes > 209715200 THEN 413 ELSE 202 END AS status FROM (SELECT 'f' || doc_id || CASE WHEN doc_id % 3 = 0 THEN '.PDF' ELSE '.txt' END AS filename, CASE WHEN doc_id % 4 = 0 THEN '' WHEN doc_id % 4 = 1 THEN 'application/pdf' ELSE 'text/plain' END AS content_type, n_chars * 100000 AS size_bytes FROM documents)"),
 }

@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from gleanery import sources, streaming
 from gleanery.api import ApiError, Library
-from gleanery.operators import answering, corpus, search
+from gleanery.operators import answering, corpus, embedding, search
 
 BOOK = "# Foxes\n\nThe quick brown fox jumps over the lazy dog in the morning. Foxes live in dens and hunt at night.\f# Whales\n\nWhales are large mammals that live in the sea. They breathe air with lungs."
 
@@ -153,3 +153,18 @@ def test_files_are_written_whole_and_by_part(spark, tmp_path):
     assert sorted(r["x"] for r in spark.read.parquet(path).collect()) == [2, 3]
     sources.write(spark.range(1).select(F.lit(9).alias("x"), F.lit("c").alias("k")), path, "k")
     assert [r["x"] for r in spark.read.parquet(path).collect()] == [9]
+
+
+def test_vectors_from_a_service(spark):
+    calls = spark.sparkContext.accumulator(0)
+
+    def embed(texts):
+        calls.add(1)
+        assert len(texts) <= 2
+        return [[3.0, 4.0] if t else [0.0, 0.0] for t in texts]
+
+    df = spark.createDataFrame([(i, "x" if i else "") for i in range(5)], "id long, text string").coalesce(1)
+    got = {r["id"]: r["embedding"] for r in embedding.remote(df, "id", "text", embed, 2).collect()}
+    assert got[1] == pytest.approx([0.6, 0.8]) and got[0] == [0.0, 0.0] and calls.value == 3
+    with pytest.raises(Exception, match="another number of vectors"):
+        embedding.remote(df, "id", "text", lambda texts: [], 2).collect()
