@@ -7,11 +7,11 @@ unigram model. In a merge model all pieces weigh 0 and the machine's states tell
 may follow another only if merging their characters by priority gives these two again, which
 one path per string does. The byte fallback reads any character and writes its UTF-8 bytes (or, without byte pieces, the
 unknown piece), at a weight of one a byte, or of ten below the worst piece in a unigram model. Pieces that a user defined are matched first, the longest at each
-place. The composition of the machines with an input is a lattice over its characters, whose
+place. The composition of the machines with an input is a word graph over its characters, whose
 states are made as the search for the tropical shortest path (the least sum of weights) reaches them.
 
 No piece holds the meta symbol after another character, where the machine says so, and then the
-lattice falls apart at spaces into segments, whose paths are kept (up to CACHE of them; forgetting changes nothing).
+word graph falls apart at spaces into segments, whose paths are kept (up to CACHE of them; forgetting changes nothing).
 
 Null texts give null ids; an empty text gives none. Texts are taken whole. Equal texts get equal ids; equal weights go to the path whose last piece begins first;
 repeated rows each give a row; an empty table gives an empty result; extra columns are kept, those named like the output replaced. Decoding is exact for
@@ -185,7 +185,7 @@ class Transducer:
         return known
 
     def shortest_path(self, segment: str) -> bytes:
-        """Tropical shortest path through the lattice of a normalised string: piece ids, 32 bits each."""
+        """Tropical shortest path through the word graph of a normalised string: piece ids, 32 bits each."""
         steps = self._least_merges(segment) if self.model == MERGES else self._least_unigrams(segment)
         out: list[int] = []
         for piece, start, end in steps:
@@ -198,7 +198,7 @@ class Transducer:
         return array("i", out).tobytes()
 
     def _least_merges(self, segment: str) -> list[tuple[int, int, int]]:
-        """(state, start, end) of the arcs of the least path, by uniform cost: lattice states are settled in the order of their weight.
+        """(state, start, end) of the arcs of the least path, by uniform cost: states are settled in the order of their weight.
 
         States of one weight are on a stack, the farthest on top; those of higher weights, which
         byte arcs lead to, wait in a heap, and are never looked at if a path of less weight arrives.
@@ -266,7 +266,7 @@ class Transducer:
         path = self._paths.get(key)
         if path is None:
             if "\n" in segment and len(segment) > 1 and self.breaks_lines:
-                # No piece holds a line feed: the lattice falls apart there too.
+                # No piece holds a line feed: the word graph falls apart there too.
                 return b"".join(self._path(x, " " + x) for x in re.split("(\n)", segment) if x)
             path = self._older.get(key) or self.shortest_path(segment)
             if len(segment) <= 64:
