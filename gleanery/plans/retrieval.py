@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleanery.operators import chunking as C
-from gleanery.operators import embedding as E
 from gleanery.operators import rerank as R
 from gleanery.operators import search as S
 from gleanery.operators import views
