@@ -229,7 +229,7 @@ QUERIES = {
     "l2_normalize": (lambda s, d: table(s, d, "embeddings").select("vec_id", F.posexplode(T.l2_normalize(F.col("embedding"))).alias("i", "x")).select("vec_id", "i", F.round("x", 7).alias("v")), "SELECT vec_id, generate_subscripts(embedding, 1) - 1 AS i, round(unnest(embedding)::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), 7) AS v FROM embeddings"),
     "vector_search_table": (
         lambda s, d: embedding.nearest(table(s, d, "embeddings").filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding", F.lit(None).cast("string").alias("only")), table(s, d, "embeddings").select("vec_id", "embedding"), 10, "vec_id").withColumn("score", F.round("score", 9)),
-        "WITH s AS (SELECT q.vec_id AS query_id, v.vec_id, round(list_sum(list_transform(generate_series(1, len(q.embedding)), lambda i: q.embedding[i]::DOUBLE * v.embedding[i]::DOUBLE)), 9) AS score FROM embeddings q, embeddings v WHERE q.vec_id % 20 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s WHERE score > 0) SELECT query_id, vec_id, score, rank FROM r WHERE rank <= 10",
+        "WITH s AS (SELECT q.vec_id AS query_id, v.vec_id, round(round(list_sum(list_transform(generate_series(1, len(q.embedding)), lambda i: q.embedding[i]::DOUBLE * v.embedding[i]::DOUBLE)), 12), 9) AS score FROM embeddings q, embeddings v WHERE q.vec_id % 20 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s WHERE score > 0) SELECT query_id, vec_id, score, rank FROM r WHERE rank <= 10",
     ),
     "formula_preview": (_docs(lambda c: T.formula_preview(F.concat(F.lit(r"\frac{a_{i}}{b^{2n}} \leq \left( \text{"), F.left(F.regexp_replace(c, r"[{}\\]", ""), F.lit(300)), F.lit(r"} \right)+x=\sqrt{\pi}")))), _D(_formula_sql(r"'\frac{a_{i}}{b^{2n}} \leq \left( \text{' || left(regexp_replace(text, '[{}\\]', '', 'g'), 300) || '} \right)+x=\sqrt{\pi}'"))),
     "pagination": (_EVENTS(lambda e: views.pagination(e.select(F.col("event_id").alias("id"), (F.col("event_id") % 97).alias("total"), (F.col("user_id") % 30).alias("page")))), "WITH t AS (SELECT event_id AS id, event_id % 97 AS total, user_id % 30 AS page FROM events), p AS (SELECT *, greatest(1, CAST(ceil(total / 5.0::DOUBLE) AS INTEGER)) AS total_pages FROM t), c AS (SELECT *, CAST(least(greatest(1, page), total_pages) AS INTEGER) AS current FROM p) SELECT id, total_pages, current, (current - 1) * 5 + 1 AS first, least(total, current * 5) AS last, array_to_string(list_filter(generate_series(1, total_pages), lambda x: x = 1 OR x = total_pages OR abs(x - current) <= 1), ',') AS pages FROM c"),
