@@ -92,8 +92,8 @@ class Library:
 
     def document(self, id: str) -> DataFrame:
         """The record with the number of chunks."""
-        n = self._table("chunks", id).agg(F.count("*").alias("num_chunks"))
-        return self._record(id).drop("batch", "storage_path").join(n, how="cross")
+        d = self._record(id).drop("batch", "storage_path")
+        return d.withColumn("num_chunks", F.lit(self._table("chunks", id).count()))
 
     def status(self, id: str) -> dict:
         """status, error and, while it's processed, the progress."""

@@ -176,7 +176,7 @@ QUERIES = {
     "evidence_gate": (lambda s, d: A.gate(S.candidates(N.queries(s), N.corpus(s, d), "hybrid"), N.queries(s)).withColumn("max_score", F.round("max_score", 7)), N.with_sql(_FUSED, _GATE)),
     "llm_stub_answer": (lambda s, d: table(s, d, "documents").select("doc_id", A.stub_answer(F.col("text")).alias("v")), "SELECT doc_id, 'Based on the evidence: ' || left(text, 120) || '. [E1]' AS v FROM documents"),
     "insufficient_reply": (lambda s, d: table(s, d, "documents").select("doc_id", A.stub_answer(F.when(F.col("doc_id") % 2 == 0, F.col("text"))).alias("raw")).select("doc_id", F.when(F.col("raw") == A.MARKER, A.REFUSAL).otherwise(F.col("raw")).alias("v")), "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'Based on the evidence: ' || left(text, 120) || '. [E1]' ELSE 'Insufficient evidence to answer.' END AS v FROM documents"),
-    "parse_citations": (lambda s, d: A.citations(_answers(s, d), s.range(1, 4).select(F.col("id").cast("int").alias("evidence_idx"), F.concat(F.lit("c"), "id").alias("chunk_id")).join(_answers(s, d).select("query_id"), F.lit(True))), rf"""WITH {_ANSWERS}, x AS (SELECT query_id, list_transform(regexp_extract_all(answer, '\[E([0-9]+)\]', 1), lambda v: CAST(v AS INTEGER)) AS xs FROM answers), u AS (SELECT query_id, list_filter(xs, lambda v, i: list_position(xs, v) = i) AS us FROM x), p AS (SELECT query_id, generate_subscripts(us, 1) - 1 AS pos, unnest(us) AS evidence_idx FROM u) SELECT query_id, pos, evidence_idx, 'c' || evidence_idx AS chunk_id FROM p WHERE evidence_idx BETWEEN 1 AND 3"""),
+    "parse_citations": (lambda s, d: A.citations(_answers(s, d), _answers(s, d).select("query_id", F.explode(F.sequence(F.lit(1), F.lit(3))).alias("evidence_idx")).withColumn("chunk_id", F.concat(F.lit("c"), "evidence_idx"))), rf"""WITH {_ANSWERS}, x AS (SELECT query_id, list_transform(regexp_extract_all(answer, '\[E([0-9]+)\]', 1), lambda v: CAST(v AS INTEGER)) AS xs FROM answers), u AS (SELECT query_id, list_filter(xs, lambda v, i: list_position(xs, v) = i) AS us FROM x), p AS (SELECT query_id, generate_subscripts(us, 1) - 1 AS pos, unnest(us) AS evidence_idx FROM u) SELECT query_id, pos, evidence_idx, 'c' || evidence_idx AS chunk_id FROM p WHERE evidence_idx BETWEEN 1 AND 3"""),
     "reflection_claims": (lambda s, d: A.claims(_answers(s, d)), f"WITH {_ANSWERS}, {_CLAIMS} SELECT query_id, sentence_no, sentence, cited, claim_no FROM numbered"),
     "reflection_filter": (lambda s, d: A.reflected(_answers(s, d), _verdicts(s, d)), rf"""WITH {_ANSWERS}, {_CLAIMS}, g AS (SELECT *, cited AND (query_id + claim_no) % 3 = 0 AS gone FROM numbered),
       a AS (SELECT query_id, coalesce(string_agg(sentence, ' ' ORDER BY sentence_no) FILTER (WHERE NOT coalesce(gone, false)), '') AS answer, count(*) AS sentences_total, count(*) FILTER (WHERE gone) AS sentences_dropped, count(*) FILTER (WHERE cited) AS cited FROM g GROUP BY query_id)
