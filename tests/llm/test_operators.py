@@ -409,8 +409,7 @@ def order_min_hash(text: str) -> list[str]:
         seen[kmer] = seen.get(kmer, 0) + 1
     out = []
     for r in range(1, fingerprints.ORDERS + 1):
-        rank = lambda e, i: (chain((e, 8), (r, 4)) | -(1 << 63)) if (e << at) & fingerprints.zeros(r) == 0 else chain((e, 8), (r, 4)) & (1 << 63) - 1
-        least = sorted((rank(e, i) >> at, i) for e, i in elements)[: fingerprints.L]
+        least = sorted((chain((e, 8), (r, 4)) >> at, i) for e, i in elements)[: fingerprints.L]
         tied = chain(*[((h & (1 << 64 - at) - 1) >> 1, 8) for h, i in sorted(least, key=lambda x: x[1])])
         out.append(f"{tied & (2**64 - 1):016x}"[-8:])
     return out
