@@ -15,8 +15,9 @@ Equal fingerprints are one row throughout. Null and empty texts have fingerprint
 component, but never name one unless all of it is null. Repeated rows each give a row; ties, as of
 fingerprints at exactly two bits, are links; an empty table gives an empty result; extra columns are ignored.
 
-one_of_each goes by similarity instead: five words a shingle and a Jaccard similarity of 0.8 or
-more, whose fingerprints, which count repeats, may be any number of bits apart. Candidates share one of BANDS
+one_of_each links documents by similarity, and, where bits are asked for, by fingerprints and pivot tables as above too.
+Similarity: five words a shingle and a Jaccard similarity of 0.8 or
+more, whose fingerprints, which count repeats, may be any number of bits apart. Candidates of the latter share one of BANDS
 tuples of least hashes (at 0.8, all but 2 in 10,000 pairs share one). All that share one are
 compared by their exact sets of shingles, however far apart their fingerprints are; those of a large
 group are dealt to parts, and each two parts are counted at once.
@@ -167,17 +168,18 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     pa.default_memory_pool().release_unused()
 
 
-def _sketched(docs: DataFrame) -> DataFrame:
-    """doc_id, key (a hash of the text), size (of the set of shingles), keys, class: texts of one class have equal sets of shingles."""
+def _sketched(docs: DataFrame, bits: bool) -> DataFrame:
+    """doc_id, key (a hash of the text), fp (its fingerprint, if asked for), size (of the set of shingles), keys, class: texts of one class have equal sets of shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _slices(batches):
             sizes, keys, classes = zip(*[sketch(t.as_py()) for t in batch.column("text")], strict=True)
-            found = [pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(classes, pa.int64())]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), *found], ["doc_id", "key", "size", "keys", "class"])
+            fps = [simhash(t.as_py()) if bits else None for t in batch.column("text")]
+            found = [pa.array(fps, pa.int64()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(classes, pa.int64())]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), *found], ["doc_id", "key", "fp", "size", "keys", "class"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.xxhash64("text").alias("key"), "text").mapInArrow(run, f"doc_id {kind}, key long, size long, keys array<long>, class long")
+    return docs.select("doc_id", F.xxhash64("text").alias("key"), "text").mapInArrow(run, f"doc_id {kind}, key long, fp long, size long, keys array<long>, class long")
 
 
 def _sets(texts: DataFrame) -> DataFrame:
@@ -270,13 +272,24 @@ def _compared(met: DataFrame, sets: DataFrame) -> DataFrame:
     return cells.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y").mapInArrow(run, "a long, b long").distinct()
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
+def _by_fingerprint(rows: DataFrame) -> DataFrame:
+    """From fp, class: links (a, b) that connect all classes whose fingerprints links connect."""
+    fps = rows.select("fp").distinct()
+    named = fps.join(components(links(fps)).withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("label", "fp").alias("group"))
+    held = rows.select("fp", "class").distinct().join(named, "fp").select("group", "class").distinct()
+    least = held.groupBy("group").agg(F.min("class").alias("a"))
+    return materialised(held.join(least, "group").filter("a < class").select("a", F.col("class").alias("b")).distinct())
+
+
+def one_of_each(docs: DataFrame, bits: bool = False) -> DataFrame:
     """docs with one row of each group of near copies left: that of the smallest doc_id (null last), then of the least hash of the text.
 
+    A group is all that links connect: similar sets of shingles and, with `bits`, fingerprints at MOST_BITS or fewer differing bits, found through the pivot tables.
+
     Rows of equal doc_id and text are copies, of which any one stays. A null text is like an empty
     one, and all of those are copies. Other columns play no part and may have any name.
     """
-    rows = materialised(_sketched(docs.select("doc_id", "text")))
+    rows = materialised(_sketched(docs.select("doc_id", "text"), bits))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "key")).alias("first")
     classes = materialised(rows.groupBy("class").agg(F.max("size").alias("size"), F.first("keys").alias("keys"), first))
     met = _met(classes)
@@ -285,7 +298,8 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     texts = docs.select("doc_id", "text").withColumn("key", F.xxhash64("text"))
     texts = texts.join(whose, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key"))).select("class", "text")
     sets = materialised(_sets(texts.dropDuplicates(["class"])))
-    labels = components(_compared(met, sets))
+    found = _compared(met, sets)
+    labels = components(found.unionByName(_by_fingerprint(rows)).distinct() if bits else found)
     named = classes.select("class", "first").join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn("label", F.coalesce("label", "class"))
     stay = materialised(named.groupBy("label").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("_id"), F.col("first.key").alias("_key")))
     repeated = rows.groupBy(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).agg(F.count("*").alias("n")).filter("n > 1")
