@@ -44,6 +44,7 @@ def test_chunks_carry_no_body_through_a_sort(spark):
     d = chunking.chunks(pages)
     plan = d._jdf.queryExecution().optimizedPlan().toString()
     assert "lag(core" not in plan and "aggregate(" not in plan
+    assert d._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 2  # the pages and their lengths
     rows = d.orderBy("ordinal").collect()
     assert [r["ordinal"] for r in rows] == list(range(len(rows))) and len(rows) > 6
     for a, b in zip(rows, rows[1:], strict=False):
