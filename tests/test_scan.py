@@ -55,3 +55,15 @@ def test_lists_of_sections_are_folded_a_few_at_a_time():
 
 def test_stated_queries_need_no_python_process(spark):
     assert "RDD" not in inputs.queries(spark)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_packed_figures_are_those_of_the_index(spark, sf, monkeypatch):
+    made = []
+    for indexed in (False, True):
+        monkeypatch.setattr(inputs, "_INDEXED", {})
+        c = inputs.corpus(spark, sf)
+        if indexed:
+            assert c.postings and c.frequencies and c.stats and c.vectors
+        made.append(sorted(map(tuple, registry.queries()["pack_summary"](spark, sf).collect())))
+        assert c.stored("postings") == indexed
+    assert made[0] == made[1] and len(made[0]) == 10
