@@ -7,7 +7,7 @@ from gleanery.operators import chunking, corpus, embedding, search
 from gleanery.plans import inputs
 from tests.conftest import same
 
-NAMES = ["adjacent_expansion", "build_prompt", "mmr_rerank", "pairwise_similarity"]
+NAMES = ["adjacent_expansion", "build_prompt", "mmr_rerank", "pairwise_similarity", "rerank_relevance"]
 
 
 @pytest.mark.parametrize("name", NAMES)
