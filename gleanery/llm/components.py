@@ -16,13 +16,13 @@ def components(links: DataFrame) -> DataFrame:
     count reaches the driver; each round's labels are a written table, which the next but one removes.
     """
     both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a is not null and b is not null and a <> b").distinct()
-    both = materialised(both)
-    labels = materialised(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")))
+    both = materialised(both, narrow=True)
+    labels = materialised(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")), narrow=True)
     while True:
         near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
         lower = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         jumped = lower.join(labels.select(F.col("node").alias("label"), F.col("label").alias("far")), "label")
-        new = materialised(jumped.select("node", "old", F.least("label", "far").alias("label")))
+        new = materialised(jumped.select("node", "old", F.least("label", "far").alias("label")), narrow=True)
         if new.filter("label <> old").isEmpty():
             discard(new, both)
             return labels

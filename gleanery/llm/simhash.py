@@ -278,7 +278,7 @@ def _by_fingerprint(rows: DataFrame) -> DataFrame:
     named = fps.join(components(links(fps)).withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("label", "fp").alias("group"))
     held = rows.select("fp", "class").distinct().join(named, "fp").select("group", "class").distinct()
     least = held.groupBy("group").agg(F.min("class").alias("a"))
-    return materialised(held.join(least, "group").filter("a < class").select("a", F.col("class").alias("b")).distinct())
+    return materialised(held.join(least, "group").filter("a < class").select("a", F.col("class").alias("b")).distinct(), narrow=True)
 
 
 def one_of_each(docs: DataFrame, bits: bool = False) -> DataFrame:
